@@ -93,15 +93,16 @@ def _posterior(v: Column, state: Column) -> Column:
 
 
 def fitted(judged: DataFrame) -> DataFrame:
-    """One row ``(prior, good, bad)``. The start, and least rates of 0.8 and 0.2, keep the meaning of "good": a vote of bad
-    always speaks for bad. All rates are smoothed.
+    """One row ``(prior, good, bad)``. The bounds on the rates keep the meaning of "good": a rule wrongs at most one good
+    text in twenty, and sees at most half of the bad ones, as each looks at one way to be bad. Without
+    them the single hidden class turns into the commonest fault alone. All rates are smoothed.
 
     Only the histogram of vote patterns, bounded by the number of rules, meets in one row.
     """
     k = len(RULES)
     patterns = judged.groupBy("v").agg(F.count("*").cast("double").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("p"))
-    start = F.struct(F.lit(0.8).alias("prior"), F.array_repeat(F.lit(0.95), k).alias("good"), F.array_repeat(F.lit(0.3), k).alias("bad"))
+    start = F.struct(F.lit(0.85).alias("prior"), F.array_repeat(F.lit(0.98), k).alias("good"), F.array_repeat(F.lit(0.2), k).alias("bad"))
 
     def step(state: Column, _: Column) -> Column:
         scored = F.transform("p", lambda r: F.struct(r["v"].alias("v"), r["n"].alias("n"), _posterior(r["v"], state).alias("q")))
@@ -111,13 +112,13 @@ def fitted(judged: DataFrame) -> DataFrame:
         return F.aggregate(s, F.lit(0.0), lambda acc, r: acc + f(r))
 
     def settle(s: Column) -> Column:
-        def rate(vote: int, weight, like: float, least: float) -> Column:
-            return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.least(F.lit(0.995), F.greatest(F.lit(least), (
+        def rate(vote: int, weight, like: float, least: float, most: float) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.least(F.lit(most), F.greatest(F.lit(least), (
                 total(s, lambda r: F.when(F.get(r["v"], j) == vote, weight(r)).otherwise(0.0)) + 10 * like) / (total(s, lambda r: F.when(F.get(r["v"], j) >= 0, weight(r)).otherwise(0.0)) + 10))))
 
         good, bad = (lambda r: r["n"] * r["q"]), (lambda r: r["n"] * (1 - r["q"]))
-        prior = F.least(F.lit(0.99), F.greatest(F.lit(0.01), (total(s, good) + 4) / (total(s, lambda r: r["n"]) + 5)))
-        return F.struct(prior.alias("prior"), rate(1, good, 0.95, 0.8).alias("good"), rate(0, bad, 0.3, 0.2).alias("bad"))
+        prior = F.least(F.lit(0.9), F.greatest(F.lit(0.1), (total(s, good) + 4) / (total(s, lambda r: r["n"]) + 5)))
+        return F.struct(prior.alias("prior"), rate(1, good, 0.98, 0.95, 0.995).alias("good"), rate(0, bad, 0.2, 0.15, 0.5).alias("bad"))
 
     # the scores are bound by a one-element array, so each round computes them once
     once = lambda state: F.get(F.transform(F.array(step(state, None)), lambda x: settle(x["s"])), 0)

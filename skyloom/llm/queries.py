@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import chat_format, quality_rules, secret_scan
+from skyloom.llm import chat_format, ngram_join, quality_rules, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": chat_format.query,
+        "op5_ngram_join": ngram_join.query,
         "op8_secret_scan": secret_scan.query,
         "op10_quality_rules": quality_rules.query,
     }
