@@ -14,9 +14,13 @@ that ends first: all it shares with the other set lies in the other's prefix too
 key, the partner would have to lack as many tokens as that prefix weighs, and it can't. So no link is
 lost. Sets of fewer than percent / (100 - percent) tokens link with equal sets only.
 
-Equal sets are one representative from the start. Index keys give candidate pairs: at first each set
-with the first of its key, then, among sets that are not connected yet, all pairs of a key. Each pair
-is verified on the whole sets. A key that thousands of near copies share thus costs one pair a copy.
+Equal sets are one representative from the start. Index keys give candidate pairs: each set with the
+first of its key. Sets that share a key but are not connected then get an index of all their tokens,
+in which copies that were edited too much to link are mostly told apart by their own rare tokens; there
+too each set meets the first of its key. At last pairs of a key that are still in different components
+are tried: all of them where few sets have the key, else those whose differences from the key's first
+set have enough in common, found by a prefix index of these differences. Each pair is verified on the whole sets. A key that thousands of near copies
+share thus costs one pair a copy.
 
 Cases: null texts and texts without words have an empty set and link with nothing (component: their
 own id); fewer than ``width`` words are one shingle; repeated ids count as one row each and share a
@@ -38,10 +42,12 @@ from skyloom.llm.common import components, dropped, table, written
 
 #: A token that more sets hold is frequent.
 RARE = 32
+#: Among sets of a key that more have, pairs are found by their differences from the first of the key.
+SMALL_KEY = 64
 #: Up to so many ids that a broadcast of them is small (8 bytes each); beyond it, a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: A word-hash cache is emptied at this size.
-CACHE = 400_000
+CACHE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,16 +116,16 @@ def _top(bucket: int, percent: int) -> int:
     return int(np.ceil(np.log(100 / percent) / np.log(1.15)))
 
 
-def _sets(width: int, percent: int):
-    """Rows: id, size, 128 bits that name the set, tokens of the region, first tokens beyond it."""
-    limit = np.uint64(_region(percent))
+def _sets(width: int, percent: int, limit: int):
+    """Rows: id, size, 128 bits that name the set, tokens of the region (below ``limit``), first tokens beyond it."""
+    limit = np.uint64(limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
             sizes, names, near, far = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle(text)
+            for text in batch.column("text"):
+                s = shingle(text.as_py())
                 sizes.append(len(s))
                 names.append(xxhash.xxh3_128_digest(s.tobytes()))
                 if len(s) * (100 - percent) < percent:  # links with equal sets only
@@ -202,11 +208,57 @@ def _verify(percent: int):
     return run
 
 
+def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What set b and its pivot a don't have in common."""
+    for batch in batches:
+        sizes, edits = [], []
+        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            sizes.append((len(x), len(y)))
+            edits.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array([a for a, _ in sizes], pa.int32()), pa.array([b for _, b in sizes], pa.int32()), pa.array(edits, pa.list_(pa.int64()))],
+            names=["a", "b", "size_a", "size", "edits"])
+
+
+def edit_prefixes(size_a: int, size: int, n: int, percent: int) -> tuple[int, int]:
+    """How many edits to index for a set as the one with fewer edits, and as the one with more.
+
+    Two sets link if they differ in at most D = s * (100 - percent) / (100 + percent) tokens, with s
+    the sum of their sizes. They differ in n + m - 2 * (edits in common), so the common edits of linked
+    sets are at least (n + m - D) / 2. If both sets link with the pivot they are connected already; so
+    if this one does, its partner doesn't, and has more edits than the pivot allows.
+    """
+    share = lambda s: s * (100 - percent) // (100 + percent)
+    most = share(size + size * 100 // percent)
+    least = n
+    if n <= share(size_a + size):
+        least = max(n, share(size_a + -(-size * percent // 100)) + 1)
+    return max(0, (n + most - least) // 2 + 1), min(n, most + 1)
+
+
+def _edit_keys(percent: int):
+    """Rows (key, a, b, size, n, few): edits to index, rarest of the pivot's sets first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, b, size_a, size, n, shared in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "size_a", "size", "n", "shared"))):
+                order = sorted((x["df"], x["token"]) for x in shared or ())
+                own = n - len(order)  # edits of no other set come first
+                for few, p in zip((True, False), edit_prefixes(size_a, size, n, percent)):
+                    rows += [(token, a, b, size, n, few) for _, token in order[: max(0, p - own)]]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=["token", "a", "b", "size", "n", "few"])
+
+    return run
+
+
 def _binary(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["id", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], names=["id", "tokens"])
 
     return run
 
@@ -218,53 +270,112 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified pairs. Each pair carries one set through the second shuffle."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    """Verified pairs."""
+    return _on_sets(docs, pairs, width, _verify(percent), "a long, b long, linked boolean")
+
+
+def _on_sets(docs: DataFrame, pairs: DataFrame, width: int, work, schema: str) -> DataFrame:
+    """``work`` on the two sets of each pair. Each pair carries one set through the second shuffle."""
+    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
     sets = written(_texts_of(docs, ids).dropDuplicates(["id"]).mapInArrow(_binary(width), "id long, tokens binary"), "sets")
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("set_b")), "b")
-    out = written(met.mapInArrow(_verify(percent), "a long, b long, linked boolean"), "links")
+    out = written(met.mapInArrow(work, schema), "links")
     dropped(sets)
     return out
 
 
+def _apart(rows: DataFrame, key: str, more, percent: int) -> DataFrame:
+    """Pairs of a key in different components; ``more`` may compare ``few``/``other_few`` and ``n``/``other_n``."""
+    right = rows.select([key] + [F.col(c).alias(f"other_{c}") for c in rows.columns if c != key])
+    met = rows.join(right, key).where((F.col("id") != F.col("other_id")) & (F.col("component") != F.col("other_component")) & _close(percent) & more)
+    return met.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b"))
+
+
+def _edited(docs: DataFrame, rows: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs among sets of large keys, by an index of their differences from the first of the key.
+
+    A linked pair of which not both link with the pivot has such differences in common.
+    """
+    pivots = rows.groupBy("key").agg(F.min("id").alias("a"))
+    of = rows.join(pivots, "key").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+    made = _on_sets(docs, written(of, "pairs"), width, _edits, "a long, b long, size_a int, size int, edits array<long>")
+    made = made.withColumn("n", F.size("edits"))
+    tokens = made.select("a", "b", F.explode("edits").alias("token"))
+    counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("a", "token"))).where("df > 1")
+    shared = counted.groupBy("a", "b").agg(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token")).alias("shared"))
+    index = made.drop("edits").join(shared, ["a", "b"]).mapInArrow(_edit_keys(percent), "token long, a long, b long, size int, n int, few boolean")
+    index = index.withColumnRenamed("b", "id").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    index = written(index.withColumn("key", F.xxhash64("a", "token")).drop("a", "token"), "edits")
+    return _apart(index, "key", F.col("few") & ~F.col("other_few") & (F.col("n") <= F.col("other_n")), percent)
+
+
+SETS = "id long, size int, name binary, near array<long>, far array<long>"
+
+
+def _index(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows ``(key, id, size)`` of all keys that two sets or more have."""
+    tokens = sets.select("id", F.explode("near").alias("token"))
+    counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    shared = counted.groupBy("id").agg(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token")).alias("shared"))
+    sized = sets.select("id", "size", F.size("near").alias("near_n"), "far").join(shared, "id", "left")
+    index = sized.mapInArrow(_keys(percent), "key long, id long, size int")
+    return written(index.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "index")
+
+
+def _star(met: DataFrame, percent: int) -> DataFrame:
+    """Each set with the first of its key."""
+    pivots = met.groupBy("key").agg(F.min(F.struct("id", "size")).alias("p")).select("key", F.col("p.id").alias("other"), F.col("p.size").alias("other_size"))
+    pairs = met.join(pivots, "key").where((F.col("id") != F.col("other")) & _close(percent))
+    return pairs.select(F.col("other").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _close(percent: int):
+    return 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
+
+
+def _open(met: DataFrame, known: DataFrame) -> DataFrame:
+    """Index rows with components, of keys whose sets are in two components or more."""
+    tagged = met.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return tagged.join(mixed, "key", "left_semi")
+
+
 def linked(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id``."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(docs.mapInArrow(_sets(width, percent), "id long, size int, name binary, near array<long>, far array<long>"), "prefixes")
+    sets = written(docs.mapInArrow(_sets(width, percent, _region(percent)), SETS), "prefixes")
     # equal sets: one representative each, found by their 128-bit names alone
     same = sets.where("size > 0").groupBy("name").agg(F.min("id").alias("rep"))
     reps = same.select(F.col("rep").alias("id")).distinct()
     few = sets.select("id", "size", "near", "far").join(reps, "id", "left_semi").where(F.size("near") + F.size("far") > 0).dropDuplicates(["id"])
-    few = written(few, "representatives")
-    tokens = few.select("id", F.explode("near").alias("token"))
-    counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
-    shared = counted.groupBy("id").agg(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token")).alias("shared"))
-    sized = few.select("id", "size", F.size("near").alias("near_n"), "far").join(shared, "id", "left")
-    index = sized.mapInArrow(_keys(percent), "key long, id long, size int")
-    by = Window.partitionBy("key")
-    # sets of one key: the first (smallest id) is the pivot; keys of one set are dropped
-    met = index.withColumn("n", F.count("*").over(by)).where("n > 1")
-    met = written(met, "index")
-    close = 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
-    pivots = met.groupBy("key").agg(F.min(F.struct("id", "size")).alias("p")).select("key", F.col("p.id").alias("other"), F.col("p.size").alias("other_size"))
-    star = met.join(pivots, "key").where((F.col("id") != F.col("other")) & close)
-    star = written(star.select(F.col("other").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    first = _links(docs, star, width, percent)
+    # first the region's index: each set against the first of its key
+    met = _index(written(few, "representatives"), percent)
+    first = _links(docs, written(_star(met, percent), "pairs"), width, percent)
     edges = first.where("linked").select("a", "b")
-    known = components(edges)
-    # what is left: pairs of one key in different components
-    tagged = met.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    tagged = written(tagged.join(mixed, "key", "left_semi"), "open")
-    right = tagged.select("key", F.col("id").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
-    rest = tagged.join(right, "key").where((F.col("id") < F.col("other")) & (F.col("component") != F.col("other_component")) & close)
-    rest = rest.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _links(docs, written(rest, "pairs"), width, percent)
-    final = components(edges.union(second.where("linked").select("a", "b"))).withColumnRenamed("id", "rep")
+    known = written(components(edges), "known")
+    # sets with a key in common, yet in different components: an index of all their tokens, so that prefixes are as rare as can be
+    ids = written(_open(met, known).select("id").distinct(), "open")
+    dropped(met)
+    again = _texts_of(docs, ids).dropDuplicates(["id"]).mapInArrow(_sets(width, percent, 2**64 - 1), SETS)
+    met = _index(written(again.select("id", "size", "near", "far"), "representatives"), percent)
+    tagged = written(_open(met, known), "open")
+    done = first.select("a", "b")
+    apart = known.withColumnRenamed("component", "component_a"), known.withColumnRenamed("component", "component_b")
+    star = _star(tagged.select("key", "id", "size"), percent).join(done, ["a", "b"], "left_anti")
+    star = star.join(apart[0].withColumnRenamed("id", "a"), "a", "left").join(apart[1].withColumnRenamed("id", "b"), "b", "left")
+    star = star.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
+    second = _links(docs, written(star, "pairs"), width, percent)
+    edges = edges.union(second.where("linked").select("a", "b"))
+    known = written(components(edges), "known")
+    # what is still apart: pairs of a key in different components
+    tagged = written(_open(tagged.drop("component"), known).withColumn("n", F.count("*").over(Window.partitionBy("key"))), "open")
+    rest = _apart(tagged.where(F.col("n") <= SMALL_KEY), "key", F.lit(True), percent).union(_edited(docs, tagged.where(F.col("n") > SMALL_KEY), known, width, percent))
+    rest = rest.distinct().join(done.union(second.select("a", "b")), ["a", "b"], "left_anti")
+    third = _links(docs, written(rest, "pairs"), width, percent)
+    final = components(edges.union(third.where("linked").select("a", "b"))).withColumnRenamed("id", "rep")
     # components of representatives, then of all rows; a component's id is its smallest document
     rows = sets.select("id", "size", "name").join(same, "name", "left").join(final, "rep", "left")
-    rows = rows.select(F.col("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
-    return rows
+    return rows.select(F.col("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
