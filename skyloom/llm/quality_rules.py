@@ -18,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import SPACES, table, words
+from skyloom.llm.common import SPACES, table, words, written
 
-#: name -> (measure, good from..to, bad below, bad above); between them the rule abstains.
+#: name -> (measure, good from..to, bad below, bad above). A rule votes bad outside its bounds. Only "length" also votes
+#: good; a last rule, "plain", votes good where every measure is in its good range. Else a rule abstains.
 RULES = {
     "length": ("n_words", (80, 20_000), 50, None),
     "symbols": ("symbol_share", (0.0, 0.02), None, 0.1),
@@ -73,55 +74,61 @@ def votes() -> list[Column]:
         # long texts reuse words, so their share is taken against the root of their length
         "variety": F.least(F.lit(1.0), F.col("n_distinct") / n * F.sqrt(F.greatest(n / 300, F.lit(1.0)))), "mark_share": F.col("n_marks") / n,
     }
-    out = []
+    out, plain = [], F.col("n_words") > 0
     for name, (key, (lo, hi), below, above) in RULES.items():
         m, bad = measure[key], F.lit(False)
         bad = bad if below is None else bad | (m < below)
         bad = bad if above is None else bad | (m > above)
-        vote = F.when(F.col("n_words") == 0, F.lit(0)).when(bad, F.lit(0)).when(m.between(lo, hi), F.lit(1)).otherwise(F.lit(-1))
-        out.append(vote.cast("int").alias(name))
-    return out
+        fine = m.between(lo, hi)
+        plain = plain & fine
+        good = F.when(fine, F.lit(1)).otherwise(F.lit(-1)) if name == "length" else F.lit(-1)
+        out.append(F.when(F.col("n_words") == 0, F.lit(0)).when(bad, F.lit(0)).otherwise(good).cast("int").alias(name))
+    return [*out, F.when(plain, F.lit(1)).otherwise(F.lit(-1)).cast("int").alias("plain")]
 
 
 def _posterior(v: Column, state: Column) -> Column:
-    """P(good | votes) under ``state`` = (prior, good array, bad array); good[j]: P(vote 1 | good text, voted)."""
-    def side(of: str, flip: bool) -> Column:
-        terms = F.transform(v, lambda x, j: F.when(x < 0, F.lit(0.0)).when((x == 1) != F.lit(flip), F.log(F.get(state[of], j))).otherwise(F.log(1 - F.get(state[of], j))))
+    """P(good | votes) under ``state`` = (prior, bad_in_good, good_in_good, bad_in_bad, good_in_bad).
+
+    Each array holds, by rule, how often it casts a vote on texts of a class; an abstention says nothing.
+    """
+    def side(of: str) -> Column:
+        terms = F.transform(v, lambda x, j: F.when(x < 0, F.lit(0.0)).when(x == 1, F.log(F.get(state[f"good_in_{of}"], j))).otherwise(F.log(F.get(state[f"bad_in_{of}"], j))))
         return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
 
-    return 1 / (1 + F.exp(side("bad", True) + F.log(1 - state["prior"]) - side("good", False) - F.log(state["prior"])))
+    return 1 / (1 + F.exp(side("bad") + F.log(1 - state["prior"]) - side("good") - F.log(state["prior"])))
 
 
 def fitted(judged: DataFrame) -> DataFrame:
-    """One row ``(prior, good, bad)``. The bounds on the rates keep the meaning of "good": a rule wrongs at most one good
-    text in twenty, and sees at most half of the bad ones, as each looks at one way to be bad. Without
-    them the single hidden class turns into the commonest fault alone. All rates are smoothed.
+    """One row: the prior and, by rule, how often it votes so on good and on bad texts.
 
-    Only the histogram of vote patterns, bounded by the number of rules, meets in one row.
+    A rule wrongs at most one good text in fifty, and votes bad on bad texts twice as often at least, so
+    a vote of bad always speaks for bad, and "good" keeps its meaning. Rates are smoothed. Only the
+    histogram of vote patterns, bounded by the number of rules, meets in one row.
     """
-    k = len(RULES)
+    k = len(RULES) + 1
     patterns = judged.groupBy("v").agg(F.count("*").cast("double").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("p"))
-    start = F.struct(F.lit(0.85).alias("prior"), F.array_repeat(F.lit(0.98), k).alias("good"), F.array_repeat(F.lit(0.2), k).alias("bad"))
-
-    def step(state: Column, _: Column) -> Column:
-        scored = F.transform("p", lambda r: F.struct(r["v"].alias("v"), r["n"].alias("n"), _posterior(r["v"], state).alias("q")))
-        return F.struct(scored.alias("s"))
+    each = lambda x: F.array_repeat(F.lit(x), k)
+    start = F.struct(F.lit(0.8).alias("prior"), each(0.01).alias("bad_in_good"), each(0.6).alias("good_in_good"), each(0.2).alias("bad_in_bad"), each(0.3).alias("good_in_bad"))
 
     def total(s: Column, f) -> Column:
         return F.aggregate(s, F.lit(0.0), lambda acc, r: acc + f(r))
 
     def settle(s: Column) -> Column:
-        def rate(vote: int, weight, like: float, least: float, most: float) -> Column:
-            return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.least(F.lit(most), F.greatest(F.lit(least), (
-                total(s, lambda r: F.when(F.get(r["v"], j) == vote, weight(r)).otherwise(0.0)) + 10 * like) / (total(s, lambda r: F.when(F.get(r["v"], j) >= 0, weight(r)).otherwise(0.0)) + 10))))
-
         good, bad = (lambda r: r["n"] * r["q"]), (lambda r: r["n"] * (1 - r["q"]))
-        prior = F.least(F.lit(0.9), F.greatest(F.lit(0.1), (total(s, good) + 4) / (total(s, lambda r: r["n"]) + 5)))
-        return F.struct(prior.alias("prior"), rate(1, good, 0.98, 0.95, 0.995).alias("good"), rate(0, bad, 0.2, 0.15, 0.5).alias("bad"))
 
+        def rate(vote: int, weight, like: float) -> Column:
+            whole = total(s, weight) + 5
+            return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (total(s, lambda r: F.when(F.get(r["v"], j) == vote, weight(r)).otherwise(0.0)) + 5 * like) / whole)
+
+        few = F.transform(rate(0, good, 0.004), lambda x: F.least(F.lit(0.02), x))
+        prior = F.least(F.lit(0.9), F.greatest(F.lit(0.5), (total(s, good) + 4) / (total(s, lambda r: r["n"]) + 5)))
+        return F.struct(prior.alias("prior"), few.alias("bad_in_good"), rate(1, good, 0.4).alias("good_in_good"),
+                        F.zip_with(rate(0, bad, 0.2), few, lambda x, y: F.greatest(x, 2 * y)).alias("bad_in_bad"), rate(1, bad, 0.4).alias("good_in_bad"))
+
+    scored = lambda state: F.transform("p", lambda r: F.struct(r["v"].alias("v"), r["n"].alias("n"), _posterior(r["v"], state).alias("q")))
     # the scores are bound by a one-element array, so each round computes them once
-    once = lambda state: F.get(F.transform(F.array(step(state, None)), lambda x: settle(x["s"])), 0)
+    once = lambda state: F.get(F.transform(F.array(F.struct(scored(state).alias("s"))), lambda x: settle(x["s"])), 0)
     return one.select(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: once(s)).alias("m")).select("m.*")
 
 
@@ -130,9 +137,9 @@ def judged(docs: DataFrame) -> DataFrame:
 
     The model is one row and comes to the driver; it goes back into the plan as literals.
     """
-    rows = measured(docs).withColumn("v", F.array(*votes()))
+    rows = written(measured(docs), "counts").withColumn("v", F.array(*votes()))
     model = fitted(rows).first()
-    state = F.struct(F.lit(float(model["prior"])).alias("prior"), F.array(*map(F.lit, model["good"])).alias("good"), F.array(*map(F.lit, model["bad"])).alias("bad"))
+    state = F.struct(*[(F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(float(x))).alias(n) for n, x in model.asDict().items()])
     rows = rows.withColumn("quality", F.get(F.transform(F.array(state), lambda s: _posterior(F.col("v"), s)), 0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= THRESHOLD))
