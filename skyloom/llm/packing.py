@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import table, written
 
-SIZE, UNIT, END_ID, GAP = 2048, 4, 1, 1e-3
+SIZE, UNIT, END_ID, GAP = 2048, 8, 1, 1e-3
 #: Pieces in one group of the ranking, about.
 GROUP = 50_000
 SPECIAL = "<|endoftext|>"
@@ -179,15 +179,19 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     demand = np.zeros(capacity + 1, np.int64)
     for c, n in histogram.items():
         demand[c] = n
-    out, left = [], demand.copy()
+    out, left, fractions = [], demand.copy(), []
     for counts, times in linear_program(demand, capacity):
-        n = int(times + 1e-9)
         used = np.flatnonzero(counts)
-        if len(used):
-            n = min(n, int((left[used] // counts[used]).min()))
-        if n > 0 and len(used):
+        n = min(int(times + 1e-9), int((left[used] // counts[used]).min()))
+        fractions.append((times - n, used, counts))
+        if n > 0:
             left[used] -= n * counts[used]
             out.append(({int(c): int(counts[c]) for c in used}, n))
+    # what rounding down left over: the same patterns once more, those that lost most first, while they fit
+    for _, used, counts in sorted(fractions, key=lambda f: -f[0]):
+        if (left[used] >= counts[used]).all():
+            left[used] -= counts[used]
+            out.append(({int(c): int(counts[c]) for c in used}, 1))
     rest = {int(c): int(left[c]) for c in np.flatnonzero(left)}
     while rest:
         first = max(rest)

@@ -89,14 +89,14 @@ def scan(versions: DataFrame, text: str = "text", ledger: DataFrame | None = Non
     return blobs.mapInArrow(_scan, f"blob string, spans {SPANS}").select("blob", F.lit(RULES_VERSION).alias("rules"), "spans")
 
 
-def findings(versions: DataFrame, ledger: DataFrame, text: str = "text") -> DataFrame:
-    """All rows and columns of ``versions`` with ``blob`` and ``spans``, which the ledger has for them.
+def findings(versions: DataFrame, ledger: DataFrame, text: str = "text", blob: str = "blob", spans: str = "spans") -> DataFrame:
+    """All rows and columns of ``versions`` with their ``blob`` and ``spans`` (columns of these names are replaced).
 
     Blobs without spans stay out of the join's right side; it is small and has each blob once.
     """
-    known = ledger.where((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
-    keyed = versions.drop("blob", "spans").withColumn("blob", blob_id(F.col(text)))
-    return keyed.join(known, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    known = ledger.where((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    keyed = versions.drop(blob, spans).withColumn(blob, blob_id(F.col(text)))
+    return keyed.join(known, blob, "left").withColumn(spans, F.coalesce(spans, F.array().cast(SPANS)))
 
 
 def joined(spans: Column) -> Column:
@@ -132,7 +132,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with all secrets blanked out; ``n_chars`` follows the text where it changed."""
     columns = docs.columns
     ledger = written(scan(docs.select("text")), "ledger")
-    out = findings(docs, ledger).withColumn("text", redact(F.col("text"), F.col("spans")))
+    found = "spans of secrets"
+    out = findings(docs, ledger, blob="blob of text", spans=found).withColumn("text", redact(F.col("text"), F.col(found)))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*columns)

@@ -8,7 +8,7 @@ manifest, so they see the old or the new state and nothing between. Files of an
 manifest.
 
 Cases: nulls and repeated rows are stored as they are; an empty arrival adds no shard; an empty store
-reads as an empty table; columns may have any name but ``_bin``.
+reads as an empty table; columns may have any name but ``shard_bin``.
 """
 
 from __future__ import annotations
@@ -87,10 +87,10 @@ class ShardStore:
     def append_split(self, df: DataFrame, arrival, n: int) -> dict:
         """``n`` arrivals told apart by a column of 0..n-1, written by one job, committed one by one."""
         base, folder = self.manifest(), f"data/{uuid.uuid4().hex}"
-        df.withColumn("_bin", arrival).write.partitionBy("_bin").parquet(f"{self.path}/{folder}")
+        df.withColumn("shard_bin", arrival).write.partitionBy("shard_bin").parquet(f"{self.path}/{folder}")
         for k in range(n):
-            if self._fs.exists(self._path(folder, f"_bin={k}")):
-                files = [{"file": f, "bytes": b, "tier": 0} for f, b in self._in(folder, f"_bin={k}")]
+            if self._fs.exists(self._path(folder, f"shard_bin={k}")):
+                files = [{"file": f, "bytes": b, "tier": 0} for f, b in self._in(folder, f"shard_bin={k}")]
                 base = self.commit(base, files, set(), df.schema.json())
         return base
 
@@ -130,14 +130,14 @@ class ShardStore:
         while merges := self._merges(base["shards"]):
             schema = self._schema(base)
             of = [(f"{self.path}/{s['file']}", k) for k, run in enumerate(merges) for s in run]
-            names = self.spark.createDataFrame([(f.rsplit("/", 1)[1], f, k) for f, k in of], "name string, file string, _bin int")
+            names = self.spark.createDataFrame([(f.rsplit("/", 1)[1], f, k) for f, k in of], "name string, file string, shard_bin int")
             rows = self.spark.read.schema(schema).parquet(*(f for f, _ in of)).withColumn("name", F.col("_metadata.file_path"))
-            binned = names.select(F.concat(F.element_at(F.split("file", "/"), -2), F.lit("/"), "name").alias("key"), "_bin")
+            binned = names.select(F.concat(F.element_at(F.split("file", "/"), -2), F.lit("/"), "name").alias("key"), "shard_bin")
             key = F.concat(F.element_at(F.split("name", "/"), -2), F.lit("/"), F.element_at(F.split("name", "/"), -1))
             # the list of merged files is as small as the manifest, which the driver holds
             met = rows.withColumn("key", key).join(F.broadcast(binned), "key").drop("key", "name")
             folder = f"data/{uuid.uuid4().hex}"
-            met.repartitionByRange(len(merges), "_bin").write.partitionBy("_bin").parquet(f"{self.path}/{folder}")
+            met.repartitionByRange(len(merges), "shard_bin").write.partitionBy("shard_bin").parquet(f"{self.path}/{folder}")
             tier = 1 + max(s["tier"] for run in merges for s in run)
             add = [{"file": f, "bytes": b, "tier": tier} for f, b in self._files(folder)]
             base = self.commit(base, add, {s["file"] for run in merges for s in run}, None)
