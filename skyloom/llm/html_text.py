@@ -202,14 +202,17 @@ def extracted(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each page."""
     rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), "html")
     parsed = written(rows.mapInArrow(_parse, "page_id long, url string, host string, page long, blocks array<struct<text:string,zone:tinyint>>"), "blocks")
+    joined = lambda chosen: F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
+    article = F.filter("blocks", lambda b: b["zone"] == ARTICLE)
+    has = F.exists("blocks", lambda b: b["zone"] == ARTICLE)
+    # only pages without an article wait for their host's repeated runs; the others never leave their task
+    clear = parsed.where(has).select("page_id", "url", joined(article).alias("text"))
     gone = covered(parsed).groupBy("page").agg(F.collect_set("block").alias("gone"))  # at most the blocks of one page
-    out = parsed.join(gone, "page", "left").withColumn("numbered", F.transform("blocks", lambda b, i: F.struct(b["text"].alias("text"), b["zone"].alias("zone"), i.alias("i"))))
-    article = F.filter("numbered", lambda b: b["zone"] == ARTICLE)
+    other = parsed.where(~has).join(gone, "page", "left").withColumn("numbered", F.transform("blocks", lambda b, i: F.struct(b["text"].alias("text"), b["zone"].alias("zone"), i.alias("i"))))
     free = F.filter("numbered", lambda b: b["zone"] == OPEN)
     unique = F.filter(free, lambda b: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), b["i"]))
-    chosen = F.when(F.size(article) > 0, article).when(F.size(unique) > 0, unique).otherwise(free)
-    text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
-    return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    other = other.select("page_id", "url", F.when(F.size(unique) > 0, joined(unique)).otherwise(joined(free)).alias("text"))
+    return clear.unionByName(other).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
