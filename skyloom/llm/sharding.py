@@ -16,13 +16,14 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import shared_dir, table
 
-RATIO, FAN_IN = 4, 4
+RATIO, FAN_IN, MERGES = 4, 4, 32
 
 
 class ShardStore:
@@ -125,21 +126,20 @@ class ShardStore:
         return [r for r in out if len(r) > 1]
 
     def compact(self) -> dict:
-        """Merges until no tier is full. All merges of a round are one job, one task for each new file."""
+        """Merges until no tier is full; each round is one manifest version.
+
+        A merge is one task that reads its run of shards and writes one file, so nothing is shuffled.
+        ``MERGES`` of them go into a job, which keeps its plan small however many there are.
+        """
         base = self.manifest()
         while merges := self._merges(base["shards"]):
-            schema = self._schema(base)
-            of = [(f"{self.path}/{s['file']}", k) for k, run in enumerate(merges) for s in run]
-            names = self.spark.createDataFrame([(f.rsplit("/", 1)[1], f, k) for f, k in of], "name string, file string, shard_bin int")
-            rows = self.spark.read.schema(schema).parquet(*(f for f, _ in of)).withColumn("name", F.col("_metadata.file_path"))
-            binned = names.select(F.concat(F.element_at(F.split("file", "/"), -2), F.lit("/"), "name").alias("key"), "shard_bin")
-            key = F.concat(F.element_at(F.split("name", "/"), -2), F.lit("/"), F.element_at(F.split("name", "/"), -1))
-            # the list of merged files is as small as the manifest, which the driver holds
-            met = rows.withColumn("key", key).join(F.broadcast(binned), "key").drop("key", "name")
-            folder = f"data/{uuid.uuid4().hex}"
-            met.repartitionByRange(len(merges), "shard_bin").write.partitionBy("shard_bin").parquet(f"{self.path}/{folder}")
+            schema, add = self._schema(base), []
             tier = 1 + max(s["tier"] for run in merges for s in run)
-            add = [{"file": f, "bytes": b, "tier": tier} for f, b in self._files(folder)]
+            for k in range(0, len(merges), MERGES):
+                parts = [self.spark.read.schema(schema).parquet(*(f"{self.path}/{s['file']}" for s in run)).coalesce(1) for run in merges[k : k + MERGES]]
+                folder = f"data/{uuid.uuid4().hex}"
+                reduce(DataFrame.unionAll, parts).write.parquet(f"{self.path}/{folder}")
+                add += [{"file": f, "bytes": b, "tier": tier} for f, b in self._in(folder)]
             base = self.commit(base, add, {s["file"] for run in merges for s in run}, None)
             if all(s["bytes"] >= 0.75 * self.target for s in add) or len(add) >= sum(map(len, merges)):
                 break
@@ -177,4 +177,4 @@ def query(spark: SparkSession, sf_dir: str, arrivals: int = 8, target_bytes: int
     rows = store.read()
     file = F.col("_metadata.file_path")
     return rows.select("doc_id", F.length("text").cast("long").alias("text_chars"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-                       F.concat(F.element_at(F.split(file, "/"), -3), F.lit("/"), F.element_at(F.split(file, "/"), -2)).alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"))
+                       F.concat(F.element_at(F.split(file, "/"), -2), F.lit("/"), F.element_at(F.split(file, "/"), -1)).alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"))
