@@ -40,13 +40,16 @@ def _points(group: str, neighbours: DataFrame, points: DataFrame) -> DataFrame:
 
 def _record(rows: DataFrame, group: str, k: int) -> DataFrame:
     """Longest edge, ratios, centre and direction of the longest edge of each set of stars."""
-    xs, ys = [F.get("q", i)["px"] for i in range(k)], [F.get("q", i)["py"] for i in range(k)]
     pairs = list(combinations(range(k), 2))
-    size = [F.hypot(xs[i] - xs[j], ys[i] - ys[j]) for i, j in pairs]
-    turn = [F.atan2(ys[j] - ys[i], xs[j] - xs[i]) for i, j in pairs]
-    longest = F.array_max(F.array(*[F.struct(s.alias("d"), F.lit(n).alias("n"), t.alias("t")) for n, (s, t) in enumerate(zip(size, turn))]))
-    sorted_ = F.sort_array(F.array(*size), asc=False)
-    out = rows.select(group, F.transform("q", lambda p: p["id"]).alias("ids"), sorted_.alias("e"), longest["t"].alias("t"), (sum(xs[1:], xs[0]) / k).alias("cx"), (sum(ys[1:], ys[0]) / k).alias("cy"))
+    # each step is bound by a one-row explode: inlined into the next it would outgrow what can be compiled
+    at = rows.select(group, "q", F.explode(F.array(F.struct(*[F.get("q", i)[f"p{c}"].alias(f"{c}{i}") for i in range(k) for c in "xy"]))).alias("p")).select(group, "q", "p.*")
+    xs, ys = [F.col(f"x{i}") for i in range(k)], [F.col(f"y{i}") for i in range(k)]
+    size = [F.hypot(xs[i] - xs[j], ys[i] - ys[j]).alias(f"d{i}{j}") for i, j in pairs]
+    turn = [F.atan2(ys[j] - ys[i], xs[j] - xs[i]).alias(f"t{i}{j}") for i, j in pairs]
+    centre = [(sum(c[1:], c[0]) / k).alias(n) for c, n in ((xs, "cx"), (ys, "cy"))]
+    far = at.select(group, F.transform("q", lambda p: p["id"]).alias("ids"), F.explode(F.array(F.struct(*size, *turn, *centre))).alias("p")).select(group, "ids", "p.*")
+    longest = F.array_max(F.array(*[F.struct(F.col(f"d{i}{j}").alias("d"), F.lit(n).alias("n"), F.col(f"t{i}{j}").alias("t")) for n, (i, j) in enumerate(pairs)]))
+    out = far.select(group, "ids", "cx", "cy", F.explode(F.array(F.struct(F.sort_array(F.array(*[F.col(f"d{i}{j}") for i, j in pairs]), asc=False).alias("e"), longest["t"].alias("t")))).alias("p")).select(group, "ids", "cx", "cy", "p.*")
     ratio = [(F.get("e", i) / F.get("e", 0)).alias(f"r{i - 1}") for i in range(1, len(pairs) if k == 4 else k)]
     return out.where(F.get("e", 0) >= 1e-10).select(group, "ids", F.get("e", 0).alias("d1"), *ratio, "cx", "cy", F.pmod("t", F.lit(math.pi)).alias("angle"))
 
