@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import patterns as P
 from skyloom.functions import sphere, text
-from skyloom.operators import catalogue_scan, fit, joins, patterns, pixels, planning, solve, tiles, votes
+from skyloom.operators import blind, catalogue_scan, fit, joins, patterns, pixels, planning, solve, tiles, votes
 from skyloom.plans import views as V
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -710,6 +710,23 @@ def _(spark, d):
     return s.select("star_id", text.human_bytes(F.col("n")).alias("size"))
 
 
+# Blind search
+
+
+@query("g22_frame_code", """SELECT id, round(v, 6) + 0e0 AS cx, round(u, 6) + 0e0 AS cy FROM (SELECT id, px * c + py * s AS u, py * c - px * s AS v FROM (SELECT id, px, py, (aby + abx) / (abx * abx + aby * aby) AS c, (aby - abx) / (abx * abx + aby * aby) AS s FROM (
+  SELECT id, p[2].x - p[1].x AS abx, p[2].y - p[1].y AS aby, p[3].x - p[1].x AS px, p[3].y - p[1].y AS py FROM (""" + _QUAD + "))))", ("std_stars",))
+def _(spark, d):
+    rows, xs, ys = _four(spark, d)
+    u, v = blind.code(xs[0], ys[0], xs[1], ys[1], xs[2], ys[2], False)
+    return named(rows, "id", cx=r(u), cy=r(v))
+
+
+@query("n12_image_patterns")
+def _(spark, d):
+    q = blind.image_patterns(_top_detections(spark, d, 60), V.WIDTH, V.HEIGHT)
+    return q.select("field_id", F.concat_ws("-", F.array_sort(F.transform("q", lambda p: p["id"])).cast("array<string>")).alias("ids"))
+
+
 # Detection: order-dependent kernels, one image a group
 
 
