@@ -47,7 +47,7 @@ SMALL_KEY = 64
 #: Up to so many ids that a broadcast of them is small (8 bytes each); beyond it, a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: A word-hash cache is emptied at this size.
-CACHE = 200_000
+CACHE = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -238,7 +238,7 @@ def edit_prefixes(size_a: int, size: int, n: int, percent: int) -> tuple[int, in
 
 
 def _edit_keys(percent: int):
-    """Rows (key, a, b, size, n, few): edits to index, rarest of the pivot's sets first."""
+    """Rows (token, a, b, size, n, few, rest): edits to index, rarest of the pivot's sets first; how many are left from each on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,9 +247,9 @@ def _edit_keys(percent: int):
                 order = sorted((x["df"], x["token"]) for x in shared or ())
                 own = n - len(order)  # edits of no other set come first
                 for few, p in zip((True, False), edit_prefixes(size_a, size, n, percent)):
-                    rows += [(token, a, b, size, n, few) for _, token in order[: max(0, p - own)]]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=["token", "a", "b", "size", "n", "few"])
+                    rows += [(token, a, b, size, n, few, n - own - k) for k, (_, token) in enumerate(order[: max(0, p - own)])]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 7, kinds)], names=["token", "a", "b", "size", "n", "few", "rest"])
 
     return run
 
@@ -285,7 +285,7 @@ def _on_sets(docs: DataFrame, pairs: DataFrame, width: int, work, schema: str) -
 
 
 def _apart(rows: DataFrame, key: str, more, percent: int) -> DataFrame:
-    """Pairs of a key in different components; ``more`` may compare ``few``/``other_few`` and ``n``/``other_n``."""
+    """Pairs of a key in different components; ``more`` may compare any column with its ``other_`` one."""
     right = rows.select([key] + [F.col(c).alias(f"other_{c}") for c in rows.columns if c != key])
     met = rows.join(right, key).where((F.col("id") != F.col("other_id")) & (F.col("component") != F.col("other_component")) & _close(percent) & more)
     return met.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b"))
@@ -303,10 +303,13 @@ def _edited(docs: DataFrame, rows: DataFrame, known: DataFrame, width: int, perc
     tokens = made.select("a", "b", F.explode("edits").alias("token"))
     counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("a", "token"))).where("df > 1")
     shared = counted.groupBy("a", "b").agg(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token")).alias("shared"))
-    index = made.drop("edits").join(shared, ["a", "b"]).mapInArrow(_edit_keys(percent), "token long, a long, b long, size int, n int, few boolean")
+    index = made.drop("edits").join(shared, ["a", "b"]).mapInArrow(_edit_keys(percent), "token long, a long, b long, size int, n int, few boolean, rest int")
     index = index.withColumnRenamed("b", "id").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     index = written(index.withColumn("key", F.xxhash64("a", "token")).drop("a", "token"), "edits")
-    return _apart(index, "key", F.col("few") & ~F.col("other_few") & (F.col("n") <= F.col("other_n")), percent)
+    # at the first edit that two sets have in common, both must have as many left as they need in common
+    least = F.col("n") + F.col("other_n") - F.floor((F.col("size") + F.col("other_size")) * (100 - percent) / (100 + percent))
+    enough = 2 * F.least("rest", "other_rest") >= least
+    return _apart(index, "key", F.col("few") & ~F.col("other_few") & (F.col("n") <= F.col("other_n")) & enough, percent)
 
 
 SETS = "id long, size int, name binary, near array<long>, far array<long>"
@@ -369,7 +372,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     known = written(components(edges), "known")
     # what is still apart: pairs of a key in different components
     tagged = written(_open(tagged.drop("component"), known).withColumn("n", F.count("*").over(Window.partitionBy("key"))), "open")
-    rest = _apart(tagged.where(F.col("n") <= SMALL_KEY), "key", F.lit(True), percent).union(_edited(docs, tagged.where(F.col("n") > SMALL_KEY), known, width, percent))
+    rest = _apart(tagged.where(F.col("n") <= SMALL_KEY), "key", F.col("id") < F.col("other_id"), percent).union(_edited(docs, tagged.where(F.col("n") > SMALL_KEY), known, width, percent))
     rest = rest.distinct().join(done.union(second.select("a", "b")), ["a", "b"], "left_anti")
     third = _links(docs, written(rest, "pairs"), width, percent)
     final = components(edges.union(third.where("linked").select("a", "b"))).withColumnRenamed("id", "rep")
