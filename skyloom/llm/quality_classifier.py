@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import table
 
 LABELLED, TRAINED = 20_000, 20_000
-BITS, ROUNDS, EPOCHS, THRESHOLD = 16, 40, 6, 0.35
-CACHE = 400_000
+BITS, ROUNDS, EPOCHS, THRESHOLD = 16, 40, 4, 0.3
+CACHE = 100_000
 #: A lexicon word follows so many different words in toxic texts, and is so many times as common in them.
 TOXIC_CONTEXTS, TOXIC_LIFT = 8, 50.0
 LABELLERS = ("toxic", "length", "symbols", "lines", "repeats", "word_size", "capitals", "variety", "marks", "plain")
@@ -112,24 +112,33 @@ class Featurizer:
             if h is None:
                 h = cache[w] = xxhash.xxh3_64_intdigest(w) & ((1 << BITS) - 1)
             out.append(h)
-        out += [xxhash.xxh3_64_intdigest(f"vote {k} {v}") & ((1 << BITS) - 1) for k, v in zip(LABELLERS, own) if v >= 0]
-        return own, np.unique(np.array(out, np.int64))
+        out = sorted(set(out))
+        out += [(1 << BITS) + 2 * j + v for j, v in enumerate(own) if v >= 0]  # votes have places of their own
+        return own, np.array(out, np.int64)
+
+
+def values(f: np.ndarray) -> np.ndarray:
+    """Feature values: 1 for a vote; words share a length of 1, whatever the text's length."""
+    word = f < 1 << BITS
+    return np.where(word, 1 / np.sqrt(max(1, int(word.sum()))), 1.0)
 
 
 def train(rows: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, float]:
-    """Logistic regression by AdaGrad, on posterior labels; feature values are 1 / sqrt(count)."""
-    w, g, b, gb = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6), 0.0, 1e-6
+    """Logistic regression by AdaGrad, on posterior labels; word weights are held small."""
+    size = (1 << BITS) + 2 * len(LABELLERS)
+    w, g, b, gb = np.zeros(size), np.full(size, 1e-6), 0.0, 1e-6
+    decay = np.where(np.arange(size) < 1 << BITS, 1e-3, 1e-6)
     order = np.random.default_rng(7)
     for _ in range(EPOCHS if rows else 0):
         for k in order.permutation(len(rows)):
             f, y = rows[k]
-            x = 1 / np.sqrt(len(f) or 1)
-            d = 1 / (1 + np.exp(-np.clip(w[f].sum() * x + b, -30, 30))) - y
-            step = d * x + 1e-6 * w[f]
+            x = values(f)
+            d = 1 / (1 + np.exp(-np.clip((w[f] * x).sum() + b, -30, 30))) - y
+            step = d * x + decay[f] * w[f]
             g[f] += step * step
-            w[f] -= 0.5 * step / np.sqrt(g[f])
+            w[f] -= 0.2 * step / np.sqrt(g[f])
             gb += d * d
-            b -= 0.5 * d / np.sqrt(gb)
+            b -= 0.2 * d / np.sqrt(gb)
     return w.astype(np.float32), float(b)
 
 
@@ -161,7 +170,7 @@ def _score(lexicon: frozenset[str], w: np.ndarray, b: float):
             out = []
             for text in batch.column("text").to_pylist():
                 f = made(text)[1]
-                out.append(1 / (1 + np.exp(-np.clip(w[f].sum(dtype=np.float64) / np.sqrt(len(f) or 1) + b, -30, 30))))
+                out.append(1 / (1 + np.exp(-np.clip((w[f] * values(f)).sum() + b, -30, 30))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     return run
