@@ -57,7 +57,7 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.path, self.load, self.exact = path, Tokenizer.from_file, None
         ranks_file = path.removesuffix(".json") + ".tiktoken"
         self.fast = None
         if os.path.exists(ranks_file):
@@ -68,6 +68,7 @@ class Encoder:
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
         if self.fast is None or SPECIAL in text:
+            self.exact = self.exact or self.load(self.path)  # rarely needed, and large
             ids = self.exact.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
