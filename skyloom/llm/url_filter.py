@@ -1,12 +1,13 @@
 """URL filter: listed rules first, then association rules mined from labelled pages.
 
 Spark's FP-growth mines combinations of URL tokens (host labels, path segments, query names) that
-go with pages labelled bad. Rules below a support or confidence are pruned. A rule is filed under its
+go with pages labelled bad. Labels are of documents; a page has those of the document that it holds,
+whose id ends the path. Rules below a support or confidence are pruned. A rule is filed under its
 rarest token in an inverted index; a URL looks up its tokens there and is blocked by a rule all of
 whose tokens it has. URLs that no rule blocks are allowed.
 
 Cases: a null URL, or one without ``://``, has an empty host and path and no tokens, fits no rule and
-is allowed; repeated rows give repeated verdicts; without labels nothing is mined; an empty table
+is allowed; a page without an id in its path has no label; repeated rows give repeated verdicts; without labels nothing is mined; an empty table
 gives an empty result; further columns are left out.
 """
 
@@ -24,6 +25,7 @@ MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.0005, 10, 0.6, 4
 BAD = "=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = "://([^/?#]*)([^?#]*)(\\??[^#]*)"
+_HELD = "/([0-9]+)(?:\\.[A-Za-z]+)?/?$"
 
 
 def host(url: Column) -> Column:
@@ -34,6 +36,11 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
+def held(url: Column) -> Column:
+    """The id of the document that a page holds: the number that ends the path, ``/en/12``, ``/en/12/`` or ``/en/12.html``."""
+    return F.regexp_extract(path(url), _HELD, 1).try_cast("long")
+
+
 def tokens(url: Column) -> Column:
     """Distinct tokens: ``h:`` host labels, ``p:`` path segments (numbers as #), ``q:`` query names."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]+", "#")
@@ -61,8 +68,8 @@ def mined(pages: DataFrame, labels: DataFrame) -> DataFrame:
     from pyspark.ml.fpm import FPGrowth
 
     spark = pages.sparkSession
-    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
-    items = pages.select("page_id", "url").join(bad, "page_id").select(F.concat(tokens(F.col("url")), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
+    bad = labels.groupBy("doc_id").agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
+    items = pages.select("url", held(F.col("url")).alias("doc_id")).join(bad, "doc_id").select(F.concat(tokens(F.col("url")), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
     n = items.count()
     if n < MIN_COUNT:
         return spark.createDataFrame([], "rule_tokens array<string>, confidence double")

@@ -202,6 +202,19 @@ def test_mined_rules_equal_brute_force(spark):
     assert got == {k: "block" if any(set(r) <= sets[k] for r in own) else "allow" for k in sets}
 
 
+def test_labels_go_to_the_page_that_holds_the_document(spark):
+    ends = ("", "/", ".html", "?page=2&ref=x", "#top", "?utm_source=feed")
+    urls = [f"http://{'spam' if k % 3 == 0 else 'good'}{'.m' if k % 2 else ''}.com/en/{k}{ends[k % 5]}" for k in range(90)]
+    pages = spark.createDataFrame([(89 - k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k % 3 != 0), 0) for k in range(90)], "doc_id long, quality int, toxic int")
+    rules = url_filter.mined(pages, labels)
+    assert {tuple(r["rule_tokens"]): r["confidence"] for r in rules.collect()}[("h:spam",)] == 1.0
+    got = {r["url"]: r["verdict"] for r in url_filter.judged(pages, rules).collect()}
+    assert got == {u: "block" if "spam" in u else "allow" for u in urls}
+    odd = spark.createDataFrame([("http://a.com/7/x",), ("http://a.com/en/x7",), ("http://7.com",), (None,), ("http://a.com/99999999999999999999",), ("http://a.com/3/12.htm?b=4",)], "url string")
+    assert [r[0] for r in odd.select(url_filter.held(F.col("url"))).collect()] == [None, None, None, None, None, 12]
+
+
 # 5
 
 
