@@ -21,7 +21,7 @@ from skyloom.llm.common import table
 #: (host, path, verdict)
 LISTED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: A combination stands in this share of labelled URLs, and in so many at least.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.0005, 10, 0.6, 4
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.0005, 10, 0.6
 BAD = "=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = "://([^/?#]*)([^?#]*)(\\??[^#]*)"
@@ -75,7 +75,7 @@ def mined(pages: DataFrame, labels: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "rule_tokens array<string>, confidence double")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = FPGrowth(itemsCol="items", minSupport=max(MIN_SUPPORT, MIN_COUNT / n), minConfidence=MIN_CONFIDENCE, numPartitions=parts).fit(items)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= MAX_TOKENS))
+    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
     return rules.select(F.array_sort("antecedent").alias("rule_tokens"), "confidence")
 
 

@@ -215,6 +215,20 @@ def test_labels_go_to_the_page_that_holds_the_document(spark):
     assert [r[0] for r in odd.select(url_filter.held(F.col("url"))).collect()] == [None, None, None, None, None, 12]
 
 
+def test_rules_of_five_tokens_block(spark):
+    five = ("a", "b", "c", "d", "e")
+    dealt = [five[:k] + five[k + 1 :] + (f"x{k}",) for k in range(5)]  # each has four of the five
+    urls = [f"http://{'.'.join(labels)}/{{}}" for labels in [five] + dealt for _ in range(20)]
+    urls = [u.format(k) for k, u in enumerate(urls)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k >= 20), 0) for k in range(len(urls))], "doc_id long, quality int, toxic int")
+    rules = url_filter.mined(pages, labels)
+    kept = {tuple(r["rule_tokens"]) for r in rules.collect()}
+    assert tuple(f"h:{x}" for x in five) in kept and min(map(len, kept)) == 5
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judged(pages, rules).collect()}
+    assert got == {k: "block" if k < 20 else "allow" for k in got}
+
+
 # 5
 
 
