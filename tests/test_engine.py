@@ -244,3 +244,13 @@ def test_empty_inputs(spark):
     none = spark.createDataFrame([], "field_id long, star_id long, x double, y double, mag double, snr double, ra double, dec double")
     assert patterns.quads(none).count() == 0
     assert solve.solve_fields(none, none, 1.0, 0.2, 100, 100).count() == 0
+
+
+def test_every_index_pattern_is_looked_up(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    spark.createDataFrame([(int(k), float(p)) for k, p in zip(rng.permutation(80_000)[:20_000], rng.uniform(900, 2000, 20_000))], "p_partkey long, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    from skyloom.plans import catalogue
+
+    anchors = {r["anchor"] for r in catalogue.queries()["i01_index_patterns"](spark, str(tmp_path)).collect()}
+    found = {(r["probe"], r["anchor"]) for r in catalogue.queries()["j08_key_lookup"](spark, str(tmp_path)).collect()}
+    assert any(a % 7 for a in anchors) and {(a, a) for a in anchors} <= found
