@@ -54,15 +54,27 @@ def _record(rows: DataFrame, group: str, k: int) -> DataFrame:
     return out.where(F.get("e", 0) >= 1e-10).select(group, "ids", F.get("e", 0).alias("d1"), *ratio, "cx", "cy", F.pmod("t", F.lit(math.pi)).alias("angle"))
 
 
-def quads(points: DataFrame, group: str = "field_id", size: int = 9) -> DataFrame:
+def _sized(n_image: Column, n: Column) -> Column:
+    """``group_size`` as an expression."""
+    return F.when((n_image < 15) & (n > 6), 7).when((n_image < 30) & (n > 5), 6).when(n > 4, 9)
+
+
+def quads(points: DataFrame, group: str = "field_id", image: DataFrame | None = None) -> DataFrame:
     """All quads of each star's group of nearest neighbours, each set of four stars once.
 
     Equal sets are dropped by their sorted star numbers, which doesn't depend on any order of rows.
-    ``points``: (group, star_id, x, y). Output: ids, d1, r0..r4, cx, cy, angle.
+    ``points``: (group, star_id, x, y); ``image``: the image's stars, whose number sets the size of the
+    groups (default: ``points``). Output: ids, d1, r0..r4, cx, cy, angle.
     """
-    near = nearest_neighbours(points, size - 1, group)
-    whole = _points(group, near, points).where(F.size("members") == size)
-    each = whole.select(group, F.explode(subsets(F.col("members"), size, 4)).alias("q"))
+    n = points.groupBy(group).agg(F.count("*").alias("_own"))
+    n = n.withColumn("_image", F.col("_own")) if image is None else n.join(image.groupBy(group).agg(F.count("*").alias("_image")), group)
+    sizes = n.select(group, _sized(F.col("_image"), F.col("_own")).alias("_k"))
+    near = nearest_neighbours(points, 8, group)
+    whole = _points(group, near, points).join(sizes, group).where(F.size("members") >= F.col("_k"))
+    each = None
+    for k in (6, 7, 9):
+        sets = whole.where(F.col("_k") == k).select(group, F.explode(subsets(F.col("members"), k, 4)).alias("q"))
+        each = sets if each is None else each.unionByName(sets)
     each = each.withColumn("q", F.sort_array("q")).dropDuplicates([group, "q"])
     return _record(each, group, 4)
 

@@ -485,7 +485,8 @@ def _(spark, d):
 
 
 def _matches(spark, d, tolerance: float = 0.007) -> DataFrame:
-    return solve.matched_quads(patterns.quads(_top_detections(spark, d)), patterns.quads(_top(spark, d)), tolerance)
+    img = _top_detections(spark, d)
+    return solve.matched_quads(patterns.quads(img), patterns.quads(_top(spark, d), image=img), tolerance)
 
 
 _IMG = _QUADS.replace("FROM std_stars", "FROM detections").replace("ORDER BY mag, star_id", "ORDER BY snr DESC, star_id").replace("WITH top AS", "WITH itop AS").replace("FROM top a JOIN top b", "FROM itop a JOIN itop b")

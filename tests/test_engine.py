@@ -254,3 +254,30 @@ def test_every_index_pattern_is_looked_up(spark, tmp_path):
     anchors = {r["anchor"] for r in catalogue.queries()["i01_index_patterns"](spark, str(tmp_path)).collect()}
     found = {(r["probe"], r["anchor"]) for r in catalogue.queries()["j08_key_lookup"](spark, str(tmp_path)).collect()}
     assert any(a % 7 for a in anchors) and {(a, a) for a in anchors} <= found
+
+
+def test_quads_of_sparse_fields(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(12)
+    stars = {n: rng.uniform(0, 1000, (n, 2)) for n in (4, 5, 6, 7, 8, 14, 15, 29, 30)}
+    rows = lambda f: [(n, k, float(x), float(y)) for n, at in stars.items() for k, (x, y) in enumerate(at) if f(n, k)]
+    points = spark.createDataFrame(rows(lambda n, k: True), "field_id long, star_id long, x double, y double")
+
+    def brute(at, size):
+        out = set()
+        for i in range(len(at)) if size and len(at) >= size else ():
+            near = sorted((((at[i] - at[j]) ** 2).sum(), j) for j in range(len(at)) if j != i and ((at[i] - at[j]) ** 2).sum() > 1)
+            out |= {tuple(sorted(c)) for c in combinations([i] + [j for _, j in near[: size - 1]], 4)}
+        return out
+
+    def got(df):
+        found = {n: [] for n in stars}
+        for q in df.collect():
+            found[q["field_id"]].append(tuple(q["ids"]))
+        return found
+
+    for df, size in ((patterns.quads(points), lambda n: patterns.group_size(n, n)), (patterns.quads(points, image=spark.createDataFrame(rows(lambda n, k: k < 6), points.schema)), lambda n: patterns.group_size(min(n, 6), n))):
+        for n, ids in got(df).items():
+            assert len(ids) == len(set(ids)) and set(ids) == brute(stars[n], size(n)), n
+    assert {n for n, ids in got(patterns.quads(points)).items() if ids} == {6, 7, 8, 14, 15, 29, 30}
