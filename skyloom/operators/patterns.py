@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from skyloom.functions import patterns as P
 from skyloom.operators.joins import nearest_neighbours
 
+#: Groups of up to so many stars make all their triangles.
+ALL_TRIANGLES = 45
+
 
 def subsets(items: Column, n: int, k: int) -> Column:
     """All ``k``-subsets of an array of exactly ``n`` elements, in lexicographic order."""
@@ -79,8 +82,8 @@ def quads(points: DataFrame, group: str = "field_id", image: DataFrame | None =
     return _record(each, group, 4)
 
 
-def triangles(points: DataFrame, group: str = "field_id") -> DataFrame:
-    """Triangles of each star with pairs of its seven nearest neighbours, each once."""
+def neighbour_triangles(points: DataFrame, group: str = "field_id") -> DataFrame:
+    """N10, N11 for groups of more than ``ALL_TRIANGLES`` stars: each star with pairs of its seven nearest neighbours, each once."""
     near = nearest_neighbours(points, 7, group)
     whole = _points(group, near, points)
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("members") - 1), lambda i: F.transform(F.filter(F.sequence(F.lit(1), F.size("members") - 1), lambda j: j > i), lambda j: F.array(F.get("members", 0), F.get("members", i), F.get("members", j)))))
@@ -88,6 +91,16 @@ def triangles(points: DataFrame, group: str = "field_id") -> DataFrame:
     return _record(each, group, 3)
 
 
+def triangles(points: DataFrame, group: str = "field_id") -> DataFrame:
+    """All triangles of a group of up to ``ALL_TRIANGLES`` stars, else those of nearest neighbours."""
+    sized = points.join(points.groupBy(group).agg(F.count("*").alias("_own")), group)
+    few, many = sized.where(F.col("_own") <= ALL_TRIANGLES).drop("_own"), sized.where(F.col("_own") > ALL_TRIANGLES).drop("_own")
+    star = lambda n: few.select(group, F.struct(F.col("star_id").alias("id"), F.col("x").alias("px"), F.col("y").alias("py")).alias(n))
+    pairs_ = star("a").join(star("b"), group).where(F.col("a.id") < F.col("b.id"))
+    each = pairs_.join(star("c"), group).where(F.col("b.id") < F.col("c.id")).select(group, F.array("a", "b", "c").alias("q"))
+    return _record(each, group, 3).unionByName(neighbour_triangles(many, group))
+
+
 def seeds(points: DataFrame, group: str = "field_id", n: int = 150, limit: int = 600) -> DataFrame:
     """Each of the brightest with three of its four nearest neighbours, the widest pairs first."""
     by = brightest(points, n, group, ["mag", "star_id"])

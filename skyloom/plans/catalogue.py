@@ -453,6 +453,12 @@ _TRI = f"""WITH top AS (SELECT * FROM ({_TOP}) WHERE top <= 40), k AS (SELECT *
 
 
 @query("n10_triangles", _TRI + " SELECT field_id, ids[1] AS i, ids[2] AS j, ids[3] AS l, round(max(e[1]), 4) + 0e0 AS d1, round(max(e[2] / e[1]), 6) + 0e0 AS r0 FROM t GROUP BY ALL", ("std_stars",))
+def _(spark, d):
+    q = patterns.neighbour_triangles(_top(spark, d))
+    return q.select("field_id", *[F.get("ids", k).alias(n) for k, n in enumerate("ijl")], r("d1", 4).alias("d1"), r("r0").alias("r0"))
+
+
+@query("n10_triangles_by_count")
 def _(spark, d):
     q = patterns.triangles(_top(spark, d))
     return q.select("field_id", *[F.get("ids", k).alias(n) for k, n in enumerate("ijl")], r("d1", 4).alias("d1"), r("r0").alias("r0"))

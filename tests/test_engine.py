@@ -281,3 +281,15 @@ def test_quads_of_sparse_fields(spark):
         for n, ids in got(df).items():
             assert len(ids) == len(set(ids)) and set(ids) == brute(stars[n], size(n)), n
     assert {n for n, ids in got(patterns.quads(points)).items() if ids} == {6, 7, 8, 14, 15, 29, 30}
+
+
+def test_small_fields_make_all_triangles(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(13)
+    rows = [(n, k, float(x), float(y)) for n in (2, 3, 12, 45, 46) for k, (x, y) in enumerate(rng.uniform(0, 1000, (n, 2)))]
+    points = spark.createDataFrame(rows, "field_id long, star_id long, x double, y double")
+    got = [(t["field_id"], *t["ids"]) for t in patterns.triangles(points).collect()]
+    near = {(t["field_id"], *t["ids"]) for t in patterns.neighbour_triangles(points.where("field_id = 46")).collect()}
+    assert len(got) == len(set(got)) and 0 < len(near) <= 46 * 21
+    assert set(got) == near | {(n, *c) for n in (3, 12, 45) for c in combinations(range(n), 3)}
