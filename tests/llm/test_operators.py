@@ -406,16 +406,98 @@ def test_redaction(spark):
 # 9
 
 
-def test_label_model_learns_accuracies():
+def brute_em(rows, faults, rounds):
+    """The label model on single documents, in plain loops."""
+    k, kinds = len(rows[0]), 1 + len(faults)
+    bad = [[0.02 if y == 0 else 0.9 if j in faults[y - 1] else 0.05 for j in range(k)] for y in range(kinds)]
+    share = [0.85] + [0.15 / len(faults)] * len(faults)
+
+    def posterior(row):
+        like = []
+        for y in range(kinds):
+            p = share[y]
+            for j, v in enumerate(row):
+                p *= 1 if v < 0 else bad[y][j] if v == 0 else 1 - bad[y][j]
+            like.append(p)
+        return [x / sum(like) for x in like]
+
+    for _ in range(rounds):
+        q = [posterior(r) for r in rows]
+        share = [(sum(x[y] for x in q) + 1) / (len(rows) + kinds) for y in range(kinds)]
+        bad = [[(sum(x[y] for x, r in zip(q, rows) if r[j] == 0) + 1) / (sum(x[y] for x, r in zip(q, rows) if r[j] >= 0) + 2) for j in range(k)] for y in range(kinds)]
+    return share, bad, [posterior(r) for r in rows]
+
+
+def planted_votes(rng, n, accuracy, faults):
+    """Documents of a kind each; labeller j errs by 1 - accuracy[j], and abstains on one text in five."""
+    out = []
+    for _ in range(n):
+        kind = rng.choices(range(1 + len(faults)), [0.8] + [0.2 / len(faults)] * len(faults))[0]
+        row = []
+        for j, a in enumerate(accuracy):
+            truth = 0 if kind and j in faults[kind - 1] else 1
+            row.append(-1 if rng.random() < 0.2 else truth if rng.random() < a else 1 - truth)
+        out.append((kind, tuple(row)))
+    return out
+
+
+def test_label_model_equals_brute_force_and_finds_planted_accuracies():
     rng = random.Random(8)
-    k = len(quality_classifier.LABELLERS)
-    patterns = Counter()
-    for _ in range(5000):
-        good = rng.random() < 0.8
-        v = [1 if good and rng.random() < 0.9 and j in (1, 9) else 0 if not good and rng.random() < 0.35 and j not in (1, 9) else -1 for j in range(k)]
-        patterns[tuple(v)] += 1
-    model = quality_classifier.label_model(patterns)
-    assert 0.7 < model["prior"] < 0.9 and (model["rate"][0, :, 0] > model["rate"][1, :, 0]).all()
+    faults, accuracy = ((0, 1, 2), (3, 4, 5)), [0.95, 0.9, 0.85, 0.97, 0.88, 0.92]
+    made = planted_votes(rng, 4000, accuracy, faults)
+    rows = [r for _, r in made]
+    model = quality_classifier.label_model(Counter(rows), faults, 30)
+    share, bad, q = brute_em(rows, faults, 30)
+    assert np.allclose(model["share"], share, atol=1e-6) and np.allclose(model["rate"][:, :, 0], bad, atol=1e-6)
+    own = quality_classifier._kinds(quality_classifier._coded(rows, 6), model["share"], model["rate"])
+    assert np.allclose(own, q, atol=1e-6)
+    for j, a in enumerate(accuracy):
+        assert abs(model["rate"][0, j, 1] - a) < 0.05 and abs(model["rate"][1 + j // 3, j, 0] - a) < 0.05
+    right = sum((x[0] >= 0.5) == (kind == 0) for (kind, _), x in zip(made, own)) / len(made)
+    best = sum((sum(v == 0 for v in r) == 0) == (kind == 0) for kind, r in made) / len(made)
+    assert right > 0.94 and right > best + 0.2  # far better than "all rules must pass"
+
+
+def test_label_model_of_nothing():
+    model = quality_classifier.LabelModel(Counter())
+    assert model.good([(-1,) * len(quality_classifier.LABELLERS)])[0] > 0
+
+
+def test_classifier_scores_equal_brute_force(spark, small):
+    """Every score again, from the votes on, in plain code."""
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    lexicon, model, w, b = quality_classifier.fitted(docs, labels)
+    texts = dict(docs.select("doc_id", "text").collect())
+    own = quality_classifier.Featurizer(lexicon)
+    rows = {d: own.votes(t) for d, t in texts.items()}
+    cut = len(quality_classifier.FORM)
+    names = list(quality_classifier.FORM)
+    faults = [tuple(names.index(x) for x in f) for f in quality_classifier.FAULTS]
+    form, harm = brute_em([r[:cut] for r in rows.values()], faults, quality_classifier.ROUNDS)[2], brute_em([r[cut:] for r in rows.values()], ((0, 1, 2),), quality_classifier.ROUNDS)[2]
+    want = dict(zip(rows, (x[0] * y[0] for x, y in zip(form, harm))))
+    got = dict(zip(rows, model.good(list(rows.values()))))
+    assert all(abs(got[d] - want[d]) < 1e-6 for d in rows)
+    scores = {r["doc_id"]: r["score"] for r in quality_classifier.scored(docs, labels).collect()}
+    for d, t in texts.items():
+        words = {quality_classifier.xxhash.xxh3_64_intdigest(x) % 2**16 for x in re.findall(r"\w+", t.lower())}
+        z = b + sum(w[x] for x in words) / max(1, len(words)) ** 0.5 + sum(w[2**16 + 3 * j + v + 1] for j, v in enumerate(rows[d]))
+        assert abs(scores[d] - 1 / (1 + np.exp(-z))) < 1e-4
+    agree = sum((scores[d] >= 0.5) == (want[d] >= 0.5) for d in rows) / len(rows)
+    assert agree > 0.97
+
+
+def test_stage_drops_rows_not_ids(spark):
+    rng = random.Random(10)
+    good = [" ".join("".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(3, 8))) for _ in range(90)) for _ in range(40)]
+    junk = [" ".join(x + "###$$$" for x in t.split()) for t in good[:8]]
+    rows = [(k, t, 1.5) for k, t in enumerate(good)] + [(k, t, 2.5) for k, t in enumerate(junk)] + [(None, junk[0], 3.5), (0, good[0], 1.5)]
+    import tempfile
+
+    folder = tempfile.mkdtemp()
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    out = quality_classifier.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, score double"), folder)
+    assert out.columns == ["doc_id", "text", "score"]
+    assert sorted(out.collect(), key=repr) == sorted([r for r in rows if r[2] == 1.5] + [(None, junk[0], 3.5)], key=repr)
 
 
 def test_classifier_on_held_out_labels(spark, small):
