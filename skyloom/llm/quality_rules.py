@@ -1,12 +1,15 @@
 """Quality rules by weak supervision, in DataFrame expressions only.
 
-Each rule votes good (1), bad (0) or abstains (-1). Expectation-maximisation over the histogram of
-vote patterns (at most 3 to the number of rules, whatever the number of documents) estimates how
-often each rule is right on good and on bad texts, and gives a posterior quality probability. That
-replaces a filter that all rules must pass.
-
-Cases: null, empty and blank texts have no words and fail the base rule; very long texts are worked
-on whole, row by row, without a shuffle; repeated rows give repeated results; an empty table gives
+Each rule votes good (1), bad (0) or abstains (-1); rules overlap, so that a fault is seen by several.
+Expectation-maximisation over the histogram of vote patterns (at most 3 to the number of rules,
+whatever the number of documents) fits a mixture of a good kind of text and one kind a fault: how
+common each is, and how often each rule votes bad on it, when it votes. The posterior probability of
+the good kind replaces a filter that all rules must pass: a bad vote that no other rule bears out
+is taken for an error of its rule. Rates have a flat prior (one pseudo-count a vote), no bounds.
+
+Cases: null, empty and blank texts have no words and fail the base rule; shares of fewer than ``FEW``
+words are not judged; very long texts are worked on whole, row by row, without a shuffle; a
+posterior of exactly ``THRESHOLD`` is kept; repeated rows give repeated results; an empty table gives
 an empty result; further columns are left out.
 
 Repeated windows are found by 64-bit hashes of three words; two different windows of one text
@@ -20,19 +23,23 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import SPACES, table, words, written
 
-#: name -> (measure, good from..to, bad below, bad above). A rule votes bad outside its bounds. Only "length" also votes
-#: good; a last rule, "plain", votes good where every measure is in its good range. Else a rule abstains.
+#: name -> (measure, good from, good to, bad below, bad above). Outside both a rule abstains.
 RULES = {
-    "length": ("n_words", (80, 20_000), 50, None),
-    "symbols": ("symbol_share", (0.0, 0.02), None, 0.1),
-    "lines": ("dup_share", (0.0, 0.1), None, 0.3),
-    "repeats": ("repeat_share", (0.0, 0.15), None, 0.4),
-    "word_size": ("mean_word", (3.5, 7.0), 2.5, 9.0),
-    "capitals": ("capital_share", (0.0, 0.15), None, 0.4),
-    "variety": ("variety", (0.45, 1.0), 0.25, None),
-    "marks": ("mark_share", (0.0, 0.05), None, 0.15),
+    "length": ("n_words", 80, None, 50, None),
+    "symbols": ("symbol_share", None, 0.02, None, 0.1),
+    "letters": ("letter_share", 0.9, None, 0.8, None),
+    "word_size": ("mean_word", 3.5, 7.0, 2.5, 8.5),
+    "capitals": ("capital_share", None, 0.12, None, 0.3),
+    "marks": ("mark_share", None, 0.05, None, 0.15),
+    "lines": ("dup_share", None, 0.1, None, 0.3),
+    "repeats": ("repeat_share", None, 0.15, None, 0.4),
+    "variety": ("variety", 0.45, None, 0.3, None),
 }
-ROUNDS, THRESHOLD = 25, 0.5
+#: What a fault shows up in; where expectation-maximisation starts.
+FAULTS = (("symbols", "letters", "word_size"), ("lines", "repeats", "variety"), ("capitals", "marks"))
+#: Shares of fewer words than this say little.
+FEW = 30
+ROUNDS, THRESHOLD = 40, 0.5
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -49,6 +56,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.size("lines").alias("n_lines"),
         cut("[A-Z]+").alias("n_capitals"),
         cut("[!?|]+").alias("n_marks"),
+        cut("[\\p{L}\\p{M}\\p{N}]+").alias("n_letters"),
         F.size(F.array_distinct("w")).alias("n_distinct"),
     )
     keys = F.when(F.col("n") >= 3, F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
@@ -73,63 +81,74 @@ def votes() -> list[Column]:
         "repeat_share": F.col("n_repeat_words") / n, "mean_word": F.col("word_chars") / n, "capital_share": F.col("n_capitals") / chars,
         # long texts reuse words, so their share is taken against the root of their length
         "variety": F.least(F.lit(1.0), F.col("n_distinct") / n * F.sqrt(F.greatest(n / 300, F.lit(1.0)))), "mark_share": F.col("n_marks") / n,
+        "letter_share": F.col("n_letters") / chars,
     }
-    out, plain = [], F.col("n_words") > 0
-    for name, (key, (lo, hi), below, above) in RULES.items():
-        m, bad = measure[key], F.lit(False)
+    out = []
+    for name, (key, good_from, good_to, below, above) in RULES.items():
+        m, bad, good = measure[key], F.lit(False), F.lit(True)
         bad = bad if below is None else bad | (m < below)
         bad = bad if above is None else bad | (m > above)
-        fine = m.between(lo, hi)
-        plain = plain & fine
-        good = F.when(fine, F.lit(1)).otherwise(F.lit(-1)) if name == "length" else F.lit(-1)
-        out.append(F.when(F.col("n_words") == 0, F.lit(0)).when(bad, F.lit(0)).otherwise(good).cast("int").alias(name))
-    return [*out, F.when(plain, F.lit(1)).otherwise(F.lit(-1)).cast("int").alias("plain")]
+        good = good if good_from is None else good & (m >= good_from)
+        good = good if good_to is None else good & (m <= good_to)
+        vote = F.when(bad, 0).when(good, 1).otherwise(-1)
+        out.append((vote if name == "length" else F.when(F.col("n_words") < FEW, -1).otherwise(vote)).cast("int").alias(name))
+    return out
 
 
-def _posterior(v: Column, state: Column) -> Column:
-    """P(good | votes) under ``state`` = (prior, bad_in_good, good_in_good, bad_in_bad, good_in_bad).
+def _total(items: Column, f) -> Column:
+    return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + f(x))
 
-    Each array holds, by rule, how often it casts a vote on texts of a class; an abstention says nothing.
-    """
-    def side(of: str) -> Column:
-        terms = F.transform(v, lambda x, j: F.when(x < 0, F.lit(0.0)).when(x == 1, F.log(F.get(state[f"good_in_{of}"], j))).otherwise(F.log(F.get(state[f"bad_in_{of}"], j))))
-        return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
 
-    return 1 / (1 + F.exp(side("bad") + F.log(1 - state["prior"]) - side("good") - F.log(state["prior"])))
+def _bound(value: Column, f) -> Column:
+    """``f(value)``, with the value computed once: a one-element array binds it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def kinds(v: Column, state: Column) -> Column:
+    """P(kind | votes), the good kind first. ``state``: array of (share, bad), ``bad`` a rate for each rule."""
+    def like(kind: Column) -> Column:
+        terms = F.zip_with(v, kind["bad"], lambda x, bad: F.when(x < 0, F.lit(0.0)).when(x == 0, F.log(bad)).otherwise(F.log(1 - bad)))
+        return F.log(kind["share"]) + _total(terms, lambda x: x)
+
+    def shares(logs: Column) -> Column:
+        return _bound(F.transform(logs, lambda x: F.exp(x - F.array_max(logs))), lambda p: F.transform(p, lambda x: x / _total(p, lambda y: y)))
+
+    return _bound(F.transform(state, like), shares)
 
 
 def fitted(judged: DataFrame) -> DataFrame:
-    """One row: the prior and, by rule, how often it votes so on good and on bad texts.
+    """One row: ``m``, an array of the kinds' (share, bad), the good kind first.
 
-    A rule wrongs at most one good text in fifty, and votes bad on bad texts twice as often at least, so
-    a vote of bad always speaks for bad, and "good" keeps its meaning. Rates are smoothed. Only the
-    histogram of vote patterns, bounded by the number of rules, meets in one row.
+    Only the histogram of vote patterns, bounded by the number of rules, meets in one row; all rounds
+    are one expression over it.
     """
-    k = len(RULES) + 1
+    k, names = len(RULES), list(RULES)
     patterns = judged.groupBy("v").agg(F.count("*").cast("double").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("p"))
-    each = lambda x: F.array_repeat(F.lit(x), k)
-    start = F.struct(F.lit(0.8).alias("prior"), each(0.01).alias("bad_in_good"), each(0.6).alias("good_in_good"), each(0.2).alias("bad_in_bad"), each(0.3).alias("good_in_bad"))
-
-    def total(s: Column, f) -> Column:
-        return F.aggregate(s, F.lit(0.0), lambda acc, r: acc + f(r))
+    first = [(0.85, [0.02] * k)] + [(0.15 / len(FAULTS), [0.9 if n in fault else 0.05 for n in names]) for fault in FAULTS]
+    start = F.array(*[F.struct(F.lit(share).alias("share"), F.array(*map(F.lit, bad)).alias("bad")) for share, bad in first])
+    rules = F.array(*map(F.lit, range(k)))
 
     def settle(s: Column) -> Column:
-        good, bad = (lambda r: r["n"] * r["q"]), (lambda r: r["n"] * (1 - r["q"]))
+        """Shares and rates of the patterns ``s`` (v, n, q)."""
+        whole = _total(s, lambda r: r["n"])
+
+        def kind(y: Column) -> Column:
+            def rate(j: Column) -> Column:
+                cast = F.aggregate(s, F.struct(F.lit(1.0).alias("bad"), F.lit(2.0).alias("all")), lambda acc, r: F.struct(
+                    (acc["bad"] + F.when(F.get(r["v"], j) == 0, r["n"] * F.get(r["q"], y)).otherwise(0.0)).alias("bad"),
+                    (acc["all"] + F.when(F.get(r["v"], j) >= 0, r["n"] * F.get(r["q"], y)).otherwise(0.0)).alias("all")))
+                return _bound(cast, lambda c: c["bad"] / c["all"])
+
+            share = (_total(s, lambda r: r["n"] * F.get(r["q"], y)) + 1) / (whole + len(first))
+            return F.struct(share.alias("share"), F.transform(rules, rate).alias("bad"))
 
-        def rate(vote: int, weight, like: float) -> Column:
-            whole = total(s, weight) + 5
-            return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (total(s, lambda r: F.when(F.get(r["v"], j) == vote, weight(r)).otherwise(0.0)) + 5 * like) / whole)
+        return F.transform(F.array(*map(F.lit, range(len(first)))), kind)
 
-        few = F.transform(rate(0, good, 0.004), lambda x: F.least(F.lit(0.02), x))
-        prior = F.least(F.lit(0.9), F.greatest(F.lit(0.5), (total(s, good) + 4) / (total(s, lambda r: r["n"]) + 5)))
-        return F.struct(prior.alias("prior"), few.alias("bad_in_good"), rate(1, good, 0.4).alias("good_in_good"),
-                        F.zip_with(rate(0, bad, 0.2), few, lambda x, y: F.greatest(x, 2 * y)).alias("bad_in_bad"), rate(1, bad, 0.4).alias("good_in_bad"))
+    def turn(state: Column, _: Column) -> Column:
+        return _bound(F.transform("p", lambda r: F.struct(r["v"].alias("v"), r["n"].alias("n"), kinds(r["v"], state).alias("q"))), settle)
 
-    scored = lambda state: F.transform("p", lambda r: F.struct(r["v"].alias("v"), r["n"].alias("n"), _posterior(r["v"], state).alias("q")))
-    # the scores are bound by a one-element array, so each round computes them once
-    once = lambda state: F.get(F.transform(F.array(F.struct(scored(state).alias("s"))), lambda x: settle(x["s"])), 0)
-    return one.select(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: once(s)).alias("m")).select("m.*")
+    return one.select(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn).alias("m"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -138,9 +157,9 @@ def judged(docs: DataFrame) -> DataFrame:
     The model is one row and comes to the driver; it goes back into the plan as literals.
     """
     rows = written(measured(docs), "counts").withColumn("v", F.array(*votes()))
-    model = fitted(rows).first()
-    state = F.struct(*[(F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(float(x))).alias(n) for n, x in model.asDict().items()])
-    rows = rows.withColumn("quality", F.get(F.transform(F.array(state), lambda s: _posterior(F.col("v"), s)), 0))
+    model = fitted(rows).first()["m"]
+    state = F.array(*[F.struct(F.lit(kind["share"]).alias("share"), F.array(*map(F.lit, kind["bad"])).alias("bad")) for kind in model])
+    rows = rows.withColumn("quality", _bound(state, lambda s: F.get(kinds(F.col("v"), s), 0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= THRESHOLD))
 

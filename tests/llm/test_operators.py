@@ -541,6 +541,39 @@ def test_quality_verdicts(spark, docs, texts):
     assert quality_rules.judged(docs.where("false")).count() == 0
 
 
+def test_quality_posteriors_equal_brute_force(docs):
+    rows = quality_rules.judged(docs).collect()
+    names = list(quality_rules.RULES)
+    faults = [tuple(names.index(x) for x in f) for f in quality_rules.FAULTS]
+    q = brute_em([tuple(r["v"]) for r in rows], faults, quality_rules.ROUNDS)[2]
+    for r, x in zip(rows, q):
+        assert abs(r["quality"] - x[0]) < 1e-6
+        assert r["kept"] == (not r["base_failed"] and r["quality"] >= quality_rules.THRESHOLD)
+
+
+def test_quality_rules_outvote_a_single_bad_vote(spark):
+    rng = random.Random(11)
+    names = list(quality_rules.RULES)
+    faults = [tuple(names.index(x) for x in f) for f in quality_rules.FAULTS]
+    accuracy = [0.9, 0.95, 0.93, 0.9, 0.97, 0.94, 0.92, 0.96, 0.9]
+    made = planted_votes(rng, 3000, accuracy, faults)
+    model = quality_rules.fitted(spark.createDataFrame([(list(r),) for _, r in made], "v array<int>")).first()["m"]
+    for j, a in enumerate(accuracy):
+        assert abs(1 - model[0]["bad"][j] - a) < 0.05
+        # two rules alone tell less of a fault than three do
+        assert all(abs(model[1 + y]["bad"][j] - a) < (0.05 if len(own) > 2 else 0.2) for y, own in enumerate(faults) if j in own)
+    state = F.array(*[F.struct(F.lit(m["share"]).alias("share"), F.array(*map(F.lit, m["bad"])).alias("bad")) for m in model])
+    rows = spark.createDataFrame([(k, list(r)) for k, r in made], "kind int, v array<int>").select("kind", "v", F.get(quality_rules.kinds(F.col("v"), state), 0).alias("q")).collect()
+    right = sum((r["q"] >= 0.5) == (r["kind"] == 0) for r in rows) / len(rows)
+    all_pass = sum(all(x != 0 for x in r["v"]) == (r["kind"] == 0) for r in rows) / len(rows)
+    assert right > 0.93 and right > all_pass + 0.2
+
+
+def test_quality_uses_no_python(spark, docs):
+    plan = quality_rules.judged(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
 # pipeline
 
 
