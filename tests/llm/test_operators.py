@@ -560,8 +560,8 @@ def test_quality_rules_outvote_a_single_bad_vote(spark):
     model = quality_rules.fitted(spark.createDataFrame([(list(r),) for _, r in made], "v array<int>")).first()["m"]
     for j, a in enumerate(accuracy):
         assert abs(1 - model[0]["bad"][j] - a) < 0.05
-        # two rules alone tell less of a fault than three do
-        assert all(abs(model[1 + y]["bad"][j] - a) < (0.05 if len(own) > 2 else 0.2) for y, own in enumerate(faults) if j in own)
+        # a fault that only two rules see isn't identified by their votes alone; it is held against chance
+        assert all(abs(model[1 + y]["bad"][j] - a) < 0.05 if len(own) > 2 else model[1 + y]["bad"][j] > 0.5 for y, own in enumerate(faults) if j in own)
     state = F.array(*[F.struct(F.lit(m["share"]).alias("share"), F.array(*map(F.lit, m["bad"])).alias("bad")) for m in model])
     rows = spark.createDataFrame([(k, list(r)) for k, r in made], "kind int, v array<int>").select("kind", "v", F.get(quality_rules.kinds(F.col("v"), state), 0).alias("q")).collect()
     right = sum((r["q"] >= 0.5) == (r["kind"] == 0) for r in rows) / len(rows)
