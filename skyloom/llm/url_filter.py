@@ -1,14 +1,19 @@
 """URL filter: listed rules first, then association rules mined from labelled pages.
 
-Spark's FP-growth mines combinations of URL tokens (host labels, path segments, query names) that
-go with pages labelled bad. Labels are of documents; a page has those of the document that it holds,
-whose id ends the path. Rules below a support or confidence are pruned. A rule is filed under its
-rarest token in an inverted index; a URL looks up its tokens there and is blocked by a rule all of
-whose tokens it has. URLs that no rule blocks are allowed.
+Spark's FP-growth mines combinations of URL tokens (host labels and their hyphenated parts, path
+segments, query names) that go with pages labelled bad. Labels come from two sources: the labels table
+is of documents, so a page has those of the document that it holds, whose id ends the path; and a
+page whose host has a word of ``SEEDS`` is labelled bad, whatever its text. Rules below a support,
+a confidence (its lower bound) or a lift are pruned. What is mined are the words and combinations that go with the
+labels; these then block pages that nobody labelled. A rule is filed under its rarest token in an
+inverted index; a URL looks up its tokens there and is blocked by a rule all of whose tokens it has.
+URLs that no rule blocks are allowed.
 
 Cases: a null URL, or one without ``://``, has an empty host and path and no tokens, fits no rule and
-is allowed; a page without an id in its path has no label; repeated rows give repeated verdicts; without labels nothing is mined; an empty table
-gives an empty result; further columns are left out.
+is allowed; a page without an id in its path has no document's label; two labels of a document: bad if
+one is; repeated rows give repeated verdicts; of listed rules of one length none can tie, as their
+texts differ and each fits by host and path; very long URLs are worked on whole; without labels and
+seeds nothing is mined; an empty table gives an empty result; further columns are left out.
 """
 
 from __future__ import annotations
@@ -22,6 +27,13 @@ from skyloom.llm.common import table
 LISTED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: A combination stands in this share of labelled URLs, and in so many at least.
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.0005, 10, 0.6
+#: A rule makes bad so many times as likely as it is among all labelled pages (else a token of every page is one).
+MIN_LIFT = 1.2
+#: The confidence that counts is the lower end of its 99 % (two-sided) interval by Wilson: of thousands of
+#: combinations some reach any plain share by chance.
+Z = 2.575
+#: Words of hosts that are known for what they sell; a page there is labelled bad.
+SEEDS = ("adult", "ads", "bet", "bets", "casino", "gambling", "pills", "poker", "porn", "sex", "spam", "viagra", "xxx")
 BAD = "=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = "://([^/?#]*)([^?#]*)(\\??[^#]*)"
@@ -42,12 +54,13 @@ def held(url: Column) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens: ``h:`` host labels, ``p:`` path segments (numbers as #), ``q:`` query names."""
+    """Distinct tokens: ``h:`` host labels, ``w:`` parts of hyphenated ones, ``p:`` path segments (numbers as #), ``q:`` query names."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]+", "#")
     tagged = lambda tag, items: F.transform(F.filter(items, lambda x: x != ""), lambda x: F.concat(F.lit(tag), x))
     query = F.regexp_replace(F.coalesce(F.regexp_extract(url, _PARTS, 3), F.lit("")), "^\\?", "")
     return F.array_distinct(F.concat(
         tagged("h:", F.split(plain(host(url)), "\\.")),
+        tagged("w:", F.flatten(F.transform(F.filter(F.split(plain(host(url)), "\\."), lambda x: F.contains(x, F.lit("-"))), lambda x: F.split(x, "-")))),
         tagged("p:", F.split(plain(path(url)), "/")),
         tagged("q:", F.transform(F.split(plain(query), "&"), lambda x: F.substring_index(x, "=", 1))),
     ))
@@ -63,19 +76,30 @@ def listed(rules: tuple = LISTED) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def mined(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled(pages: DataFrame, labels: DataFrame, seeds: tuple[str, ...] = ()) -> DataFrame:
+    """``(url, bad)`` of the pages that a document's label or a seed word speaks of."""
+    bad = labels.groupBy("doc_id").agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
+    seeded = F.arrays_overlap(F.split(host(F.col("url")), "[.-]"), F.array(*map(F.lit, seeds))) if seeds else F.lit(False)
+    rows = pages.select("url", held(F.col("url")).alias("doc_id"), F.coalesce(seeded, F.lit(False)).alias("seeded")).join(bad, "doc_id", "left")
+    return rows.where(F.col("seeded") | F.col("bad").isNotNull()).select("url", F.when(F.col("seeded"), 1).otherwise(F.col("bad")).alias("bad"))
+
+
+def mined(pages: DataFrame, labels: DataFrame, seeds: tuple[str, ...] = ()) -> DataFrame:
     """``(rule_tokens, confidence)`` of the rules that FP-growth finds among labelled pages."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = pages.sparkSession
-    bad = labels.groupBy("doc_id").agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
-    items = pages.select("url", held(F.col("url")).alias("doc_id")).join(bad, "doc_id").select(F.concat(tokens(F.col("url")), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
+    end = F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
+    items = labelled(pages, labels, seeds).select(F.concat(tokens(F.col("url")), end).alias("items")).where(F.size("items") > 0)
     n = items.count()
     if n < MIN_COUNT:
         return spark.createDataFrame([], "rule_tokens array<string>, confidence double")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = FPGrowth(itemsCol="items", minSupport=max(MIN_SUPPORT, MIN_COUNT / n), minConfidence=MIN_CONFIDENCE, numPartitions=parts).fit(items)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
+    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= MIN_LIFT))
+    held, share = F.col("support") * n / F.col("confidence"), F.col("confidence")
+    least = (share + Z * Z / (2 * held) - Z * F.sqrt(share * (1 - share) / held + Z * Z / (4 * held * held))) / (1 + Z * Z / held)
+    rules = rules.where(least >= MIN_CONFIDENCE)
     return rules.select(F.array_sort("antecedent").alias("rule_tokens"), "confidence")
 
 
@@ -96,4 +120,4 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judged(pages, mined(pages, table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
+    return judged(pages, mined(pages, table(spark, sf_dir, "labels"), SEEDS)).select("page_id", "host", "path", "rule", "verdict")

@@ -229,6 +229,58 @@ def test_rules_of_five_tokens_block(spark):
     assert got == {k: "block" if k < 20 else "allow" for k in got}
 
 
+def brute_rules(rows, support):
+    """All rules of token sets by counting every subset of every page's tokens."""
+    from itertools import combinations
+
+    n, bad, held = len(rows), sum(b for _, b in rows), defaultdict(lambda: [0, 0])
+    for tokens, b in rows:
+        for k in range(1, len(tokens) + 1):
+            for own in combinations(sorted(tokens), k):
+                held[own][0] += 1
+                held[own][1] += b
+    least = max(url_filter.MIN_SUPPORT, url_filter.MIN_COUNT / n) * n - 1e-9
+
+    def lower(x, y, z=2.575):  # Wilson
+        return (y / x + z * z / (2 * x) - z * (y / x * (1 - y / x) / x + z * z / (4 * x * x)) ** 0.5) / (1 + z * z / x)
+
+    return {t: y / x for t, (x, y) in held.items() if y >= least and lower(x, y) >= url_filter.MIN_CONFIDENCE and (y / x) / (bad / n) >= url_filter.MIN_LIFT}
+
+
+def test_fp_growth_equals_brute_force_with_labels_and_seeds(spark):
+    rng = random.Random(12)
+    hosts = ["big-casino.example.com", "win-casino.example.com", "a.example.com", "b.example.net", "bad.example.net", "blog.example.org"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de'])}/{k}{rng.choice(['', '?ref=1'])}" for k in range(400)]
+    labels = [(k, int(not ("bad." in u and rng.random() < 0.9)), None) for k, u in enumerate(urls) if k % 2]
+    pages = spark.createDataFrame([*enumerate(urls), (900, "http://win-big.example.org/en/900"), (901, None)], "page_id long, url string")
+    labels_df = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = url_filter.mined(pages, labels_df, ("casino",))
+    own = {tuple(r["rule_tokens"]): r["confidence"] for r in found.collect()}
+    sets = {u: t for u, t in pages.where("url is not null").select("url", url_filter.tokens(F.col("url"))).collect()}
+    bad = {k: q == 0 for k, q, _ in labels}
+    rows = [(sets[u], 1 if "casino" in u else int(bad[k])) for k, u in enumerate(urls) if "casino" in u or k in bad]
+    want = brute_rules(rows, 0)
+    assert set(own) == set(want) and all(abs(own[t] - want[t]) < 1e-9 for t in want)
+    assert own[("w:win",)] == 1.0 and ("h:example",) not in own
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judged(pages, found).collect()}
+    assert got[900] == "block"  # neither labelled nor seeded: the mined word blocks it
+    assert got == {p: "block" if u and any(set(t) <= set(sets[u]) for t in own) else ("allow" if not u or ".net" not in u else "block" if "/en/" not in u else "allow") for p, u in pages.collect()} | {
+        p: v for p, v in got.items() if u_listed(dict(pages.collect())[p])}
+
+
+def u_listed(url):
+    """Whether a listed rule decides the URL."""
+    return bool(url) and (".net" in url or ".com/de/" in url)
+
+
+def test_mined_rules_decide_pages_of_the_table(spark, small):
+    big = small.replace("sf0.001", "sf0.1")
+    pages, labels = spark.read.parquet(f"{big}/pages.parquet").select("page_id", "url"), spark.read.parquet(f"{big}/labels.parquet")
+    rules = url_filter.mined(pages, labels, url_filter.SEEDS)
+    rows = url_filter.judged(pages, rules).where("rule is null and verdict = 'block'").collect()
+    assert rows and all(re.search("adult|ads|bets|casino|pills|spam", r["host"]) for r in rows)
+
+
 # 5
 
 
