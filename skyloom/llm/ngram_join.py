@@ -22,10 +22,16 @@ are tried: all of them where few sets have the key, else those whose differences
 set have enough in common, found by a prefix index of these differences. Each pair is verified on the whole sets. A key that thousands of near copies
 share thus costs one pair a copy.
 
+Sets are keyed by an id of their own: the least document that holds the set, or, if that id is null or
+stands at different texts, a hash of the text. Counts of keys and tokens are aggregated before they
+are joined back, so a key that a third of all rows have is split like any skewed join.
+
 Cases: null texts and texts without words have an empty set and link with nothing (component: their
-own id); fewer than ``width`` words are one shingle; repeated ids count as one row each and share a
-component, as their rows have one id; an empty table gives an empty result; further columns of the
-documents are left out of the result.
+own id); fewer than ``width`` words are one shingle; each row is a document by itself, so rows of one
+id with different texts may be in different components, and a null id is no one's smallest (a
+component of null ids alone is null); very long texts are shingled whole; ties of sizes and keys go
+by the set's id; an empty table gives an empty result; further columns of the documents are left out
+of the result. The stage drops rows, not ids: of each group one row stays, also of exact repeats.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import components, dropped, table, written
@@ -117,7 +123,7 @@ def _top(bucket: int, percent: int) -> int:
 
 
 def _sets(width: int, percent: int, limit: int):
-    """Rows: id, size, 128 bits that name the set, tokens of the region (below ``limit``), first tokens beyond it."""
+    """Rows: id, text_key, size, 128 bits that name the set, tokens of the region (below ``limit``), first tokens beyond it."""
     limit = np.uint64(limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +145,7 @@ def _sets(width: int, percent: int, limit: int):
                 near.append(s[:k].view(np.int64))
                 far.append(s[k : k + need].view(np.int64))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.array(names, pa.binary()), pa.array(near, longs), pa.array(far, longs)], names=["id", "size", "name", "near", "far"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(sizes, pa.int32()), pa.array(names, pa.binary()), pa.array(near, longs), pa.array(far, longs)], names=["id", "text_key", "size", "name", "near", "far"])
 
     return run
 
@@ -263,6 +269,12 @@ def _binary(width: int):
     return run
 
 
+def _counted(rows: DataFrame, by: list[str], name: str, more_than: int = 1) -> DataFrame:
+    """Rows of groups of over ``more_than``, with their number. A group of any size stays spread: its count is joined back."""
+    counts = written(rows.groupBy(*by).agg(F.count("*").alias(name)).where(F.col(name) > more_than), "counts")
+    return rows.join(counts, by)
+
+
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents with these ids; the ids go by broadcast only if they are few."""
     small = ids.count() <= BROADCAST_IDS
@@ -296,13 +308,12 @@ def _edited(docs: DataFrame, rows: DataFrame, known: DataFrame, width: int, perc
 
     A linked pair of which not both link with the pivot has such differences in common.
     """
-    pivots = rows.groupBy("key").agg(F.min("id").alias("a"))
+    pivots = written(rows.groupBy("key").agg(F.min("id").alias("a")), "pivots")
     of = rows.join(pivots, "key").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
     made = _on_sets(docs, written(of, "pairs"), width, _edits, "a long, b long, size_a int, size int, edits array<long>")
     made = made.withColumn("n", F.size("edits"))
     tokens = made.select("a", "b", F.explode("edits").alias("token"))
-    counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("a", "token"))).where("df > 1")
-    shared = counted.groupBy("a", "b").agg(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token")).alias("shared"))
+    shared = _counted(tokens, ["a", "token"], "df").groupBy("a", "b").agg(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token")).alias("shared"))
     index = made.drop("edits").join(shared, ["a", "b"]).mapInArrow(_edit_keys(percent), "token long, a long, b long, size int, n int, few boolean, rest int")
     index = index.withColumnRenamed("b", "id").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     index = written(index.withColumn("key", F.xxhash64("a", "token")).drop("a", "token"), "edits")
@@ -312,23 +323,22 @@ def _edited(docs: DataFrame, rows: DataFrame, known: DataFrame, width: int, perc
     return _apart(index, "key", F.col("few") & ~F.col("other_few") & (F.col("n") <= F.col("other_n")) & enough, percent)
 
 
-SETS = "id long, size int, name binary, near array<long>, far array<long>"
+SETS = "id long, text_key long, size int, name binary, near array<long>, far array<long>"
 
 
 def _index(sets: DataFrame, percent: int) -> DataFrame:
     """Rows ``(key, id, size)`` of all keys that two sets or more have."""
     tokens = sets.select("id", F.explode("near").alias("token"))
-    counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
-    shared = counted.groupBy("id").agg(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token")).alias("shared"))
+    shared = _counted(tokens, ["token"], "df").groupBy("id").agg(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token")).alias("shared"))
     sized = sets.select("id", "size", F.size("near").alias("near_n"), "far").join(shared, "id", "left")
-    index = sized.mapInArrow(_keys(percent), "key long, id long, size int")
-    return written(index.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "index")
+    index = written(sized.mapInArrow(_keys(percent), "key long, id long, size int"), "index")
+    return written(_counted(index, ["key"], "n").drop("n"), "index")
 
 
 def _star(met: DataFrame, percent: int) -> DataFrame:
     """Each set with the first of its key."""
     pivots = met.groupBy("key").agg(F.min(F.struct("id", "size")).alias("p")).select("key", F.col("p.id").alias("other"), F.col("p.size").alias("other_size"))
-    pairs = met.join(pivots, "key").where((F.col("id") != F.col("other")) & _close(percent))
+    pairs = met.join(written(pivots, "pivots"), "key").where((F.col("id") != F.col("other")) & _close(percent))
     return pairs.select(F.col("other").alias("a"), F.col("id").alias("b")).distinct()
 
 
@@ -340,15 +350,35 @@ def _open(met: DataFrame, known: DataFrame) -> DataFrame:
     """Index rows with components, of keys whose sets are in two components or more."""
     tagged = met.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return tagged.join(mixed, "key", "left_semi")
+    return tagged.join(written(mixed, "mixed"), "key", "left_semi")
 
 
-def linked(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_shingles, component_id``."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _own_ids(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Documents and sets with ``id`` as the key of one text; whether any differs from the document's id.
+
+    An id that is null or stands at different sets gives way to a hash of the text, made negative.
+    """
+    odd = sets.where("size > 0").groupBy("id").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("id is null or lo <> hi")
+    odd = written(odd.select("id", F.lit(True).alias("odd")), "odd-ids")
+    sets = sets.withColumn("doc_id", F.col("id"))
+    if odd.isEmpty():
+        return docs, sets, False
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        met = rows.join(odd.withColumnRenamed("id", "odd_id"), F.col("id").eqNullSafe(F.col("odd_id")), "left").drop("odd_id")
+        hashed = F.col("text_key").bitwiseOR(F.lit(-(2**63)))
+        return met.withColumn("id", F.when(F.col("odd"), hashed).otherwise(F.col("id"))).drop("odd")
+
+    return keyed(docs), written(keyed(sets), "prefixes"), True
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(doc_id, text_key, size, component_id)`` of every row. ``docs``: id, text."""
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
     sets = written(docs.mapInArrow(_sets(width, percent, _region(percent)), SETS), "prefixes")
+    docs, sets, odd = _own_ids(docs, sets)
     # equal sets: one representative each, found by their 128-bit names alone
-    same = sets.where("size > 0").groupBy("name").agg(F.min("id").alias("rep"))
+    same = sets.where("size > 0").groupBy("name").agg(F.min("id").alias("rep"), F.min("doc_id").alias("least"))
     reps = same.select(F.col("rep").alias("id")).distinct()
     few = sets.select("id", "size", "near", "far").join(reps, "id", "left_semi").where(F.size("near") + F.size("far") > 0).dropDuplicates(["id"])
     # first the region's index: each set against the first of its key
@@ -371,14 +401,24 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     edges = edges.union(second.where("linked").select("a", "b"))
     known = written(components(edges), "known")
     # what is still apart: pairs of a key in different components
-    tagged = written(_open(tagged.drop("component"), known).withColumn("n", F.count("*").over(Window.partitionBy("key"))), "open")
+    tagged = written(_counted(_open(tagged.drop("component"), known), ["key"], "n"), "open")
     rest = _apart(tagged.where(F.col("n") <= SMALL_KEY), "key", F.col("id") < F.col("other_id"), percent).union(_edited(docs, tagged.where(F.col("n") > SMALL_KEY), known, width, percent))
     rest = rest.distinct().join(done.union(second.select("a", "b")), ["a", "b"], "left_anti")
     third = _links(docs, written(rest, "pairs"), width, percent)
     final = components(edges.union(third.where("linked").select("a", "b"))).withColumnRenamed("id", "rep")
     # components of representatives, then of all rows; a component's id is its smallest document
-    rows = sets.select("id", "size", "name").join(same, "name", "left").join(final, "rep", "left")
-    return rows.select(F.col("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    own = same.join(final, "rep", "left").withColumn("group", F.coalesce("component", "rep")).withColumn("component_id", F.col("group"))
+    if odd:
+        own = written(own.drop("component_id"), "components")
+        own = own.join(written(own.groupBy("group").agg(F.min("least").alias("component_id")), "smallest"), "group")
+    rows = sets.select("doc_id", "text_key", "size", "name").join(own.select("name", "group", "component_id"), "name", "left")
+    return rows.select("doc_id", "text_key", "size", "group", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def linked(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, n_shingles, component_id``."""
+    rows = _grouped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), width, percent)
+    return rows.select("doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,6 +426,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies (five words, 0.8)."""
-    groups = linked(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near copies (five words, 0.8): that with the smallest id, then text hash.
+
+    A row with a null id comes last in its group; texts without words stay.
+    """
+    columns, mark = docs.columns, "key of text"
+    rows = written(_grouped(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), 5, 80).where("size > 0"), "groups")
+    texts = written(rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.min("group").alias("group")), "texts")
+    first = texts.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    met = texts.join(written(first, "first"), "group").withColumn("gone", ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("text_key") != F.col("first.text_key")))
+    # rows to act on: the others of a group, and repeats of the one that stays
+    acts = written(met.where("gone or n > 1").select(F.col("doc_id").alias("a_id"), F.col("text_key").alias("a_key"), "gone"), "acts").alias("a")
+    keyed = docs.withColumn(mark, F.xxhash64("text")).alias("k")
+    here = F.col("k.doc_id").cast("long").eqNullSafe(F.col("a.a_id")) & (F.col(f"k.{mark}") == F.col("a.a_key"))
+    kept = keyed.join(acts.where("gone"), here, "left_anti").alias("k")
+    twice = acts.where("not gone").alias("a")
+    if twice.isEmpty():
+        return kept.select(*columns)
+    repeats = kept.join(twice, here, "left_semi").dropDuplicates(["doc_id", mark])
+    return kept.join(twice, here, "left_anti").unionByName(repeats).select(*columns)

@@ -341,6 +341,39 @@ def test_jaccard_of_nothing(spark):
     assert [tuple(r) for r in ngram_join.linked(documents(spark, [None, ""])).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1)]
 
 
+def test_jaccard_with_repeated_and_null_ids(spark, monkeypatch):
+    """Ids that stand at several texts: rows are documents by themselves, and no link of any text is lost."""
+    monkeypatch.setattr(ngram_join, "SMALL_KEY", 3)
+    rng = random.Random(13)
+    bases = [prose(rng, 120, 5000) for _ in range(6)]
+
+    def near(t):
+        w = t.split()
+        w[rng.randrange(len(w))] = "edited"
+        return " ".join(w)
+
+    rows = [(5, bases[0]), (5, bases[1]), (3, bases[0]), (7, near(bases[1])), (5, near(bases[2])), (9, bases[2]), (None, bases[3]), (None, near(bases[3])), (None, bases[4]), (4, near(bases[4])), (5, bases[1]), (8, None), (8, None), (None, "")]
+    rows += [(20 + k % 3, near(bases[5])) for k in range(12)]
+    got = ngram_join._grouped(spark.createDataFrame(rows, "id long, text string"), 3, 90).collect()
+    whole = brute_components({k: t for k, (_, t) in enumerate(rows)}, 3, 90)
+    groups = defaultdict(list)
+    for k, (_, c) in whole.items():
+        groups[c].append(k)
+    want = []
+    for own in groups.values():
+        ids = [rows[k][0] for k in own if rows[k][0] is not None]
+        want += [(rows[k][0], whole[k][0], min(ids, default=None)) for k in own]
+    assert sorted(((r["doc_id"], r["size"], r["component_id"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_near_copies_leave_one_row_of_each_group(spark):
+    rng = random.Random(14)
+    a, b, c = (prose(rng, 80, 3000) for _ in range(3))
+    rows = [(5, a, "x"), (5, b, "y"), (3, a, "z"), (6, b, "w"), (6, c, "v"), (6, c, "v"), (None, c, "n"), (None, None, "e"), (1, "", "e"), (1, "", "e")]
+    out = ngram_join.stage(spark, spark.createDataFrame(rows, "doc_id int, text string, `group` string"), "").collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([(5, b, "y"), (3, a, "z"), (6, c, "v"), (None, None, "e"), (1, "", "e"), (1, "", "e")], key=repr)
+
+
 # 6
 
 
