@@ -406,25 +406,26 @@ def test_tiling_finds_reordered_passages():
     assert decontaminate.tiling(item, [500] * 50) == [] and decontaminate.tiling([], []) == []
 
 
+def plain_tiling(item, text, least):  # greedy string tiling, word by word
+    a, b, out = [False] * len(item), [False] * len(text), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                k = 0
+                while i + k < len(item) and j + k < len(text) and item[i + k] == text[j + k] and not a[i + k] and not b[j + k]:
+                    k += 1
+                best = max(best, (k, -j, -i))
+        k, j, i = best[0], -best[1], -best[2]
+        if k < least:
+            return out
+        a[i : i + k], b[j : j + k] = [True] * k, [True] * k
+        out += k
+
+
 def test_tiling_covers_as_much_as_brute_force():
     rng = random.Random(6)
 
-    def plain(item, text, least):  # greedy string tiling, word by word
-        a, b, out = [False] * len(item), [False] * len(text), 0
-        while True:
-            best = (0, 0, 0)
-            for i in range(len(item)):
-                for j in range(len(text)):
-                    k = 0
-                    while i + k < len(item) and j + k < len(text) and item[i + k] == text[j + k] and not a[i + k] and not b[j + k]:
-                        k += 1
-                    best = max(best, (k, -j, -i))
-            k, j, i = best[0], -best[1], -best[2]
-            if k < least:
-                return out
-            a[i : i + k], b[j : j + k] = [True] * k, [True] * k
-            out += k
-
     for _ in range(60):
         item = [rng.randrange(6) for _ in range(30)]
         text = [rng.randrange(6) for _ in range(40)]
@@ -434,7 +435,57 @@ def test_tiling_covers_as_much_as_brute_force():
         assert all(item[i : i + k] == text[t : t + k] and k >= 4 for t, i, k in tiles)
         used = [x for t, _, k in tiles for x in range(t, t + k)]
         assert len(used) == len(set(used))
-        assert sum(k for *_, k in tiles) == plain(item, text, 4)
+        assert sum(k for *_, k in tiles) == plain_tiling(item, text, 4)
+
+
+def test_tiling_of_repeated_words_is_quick():
+    import time
+
+    began = time.time()
+    assert decontaminate.tiling([1] * 200, [1] * 20_000) == [(0, 0, 200)]
+    text = ([1] * 7 + [2]) * 2500
+    tiles = decontaminate.tiling([1, 2] * 50 + [1] * 100, text)
+    assert tiles and time.time() - began < 2
+
+
+def test_words_of_scripts_without_spaces():
+    words = decontaminate._WORD.findall
+    assert words("don't 漢字かな 12_a ไทย") == ["don", "t", "漢", "字", "か", "な", "12_a", "ไ", "ท", "ย"]
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_leaks_equal_brute_force(spark, monkeypatch, sent):
+    """Short items, items of scripts without spaces, repeated and null ids, and a phrase that most items have."""
+    monkeypatch.setattr(decontaminate, "SEEDS", sent)
+    rng = random.Random(15)
+    phrase = "answer the following question with care and"
+    items = [f"{phrase} {prose(rng, rng.randrange(3, 40), 300)}" for _ in range(25)] + ["漢字" * 9 + "".join(chr(0x4E00 + k) for k in range(30)), "just three words", "one", "", None, "just three words"]
+    texts = []
+    for k, t in enumerate(items):
+        w = (t or "").split()
+        cut = rng.randrange(len(w) + 1)
+        texts += [f"{prose(rng, 60, 300)} {' '.join(w[cut:] + ['x'] + w[:cut])} {prose(rng, 30, 300)}", f"{phrase} {prose(rng, 40, 300)}", " ".join(w[: len(w) // 3])]
+    texts += [None, "", "see " + items[25][4:30] + " ok", "These are JUST three, words!"]
+    ids = [rng.choice([None, 1, 2, k]) for k in range(len(texts))]
+    bench = spark.createDataFrame([(k % 20, t) for k, t in enumerate(items)], "item_id int, text string")
+    got = Counter((r["doc_id"], r["item_id"], r["item_words"], r["covered_words"]) for r in decontaminate.leaks(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), bench).collect())
+    want = Counter()
+    number = {}
+    coded = lambda t: [number.setdefault(w, len(number)) for w in decontaminate._WORD.findall((t or "").lower())]
+    for k, t in enumerate(items):
+        own = coded(t)
+        for d, text in zip(ids, texts):
+            covered = plain_tiling(own, coded(text), min(5, len(own))) if own else 0
+            if own and covered >= 0.5 * len(own):
+                want[(d, k % 20, len(own), covered)] += 1
+    assert got == want
+
+
+def test_decontaminated_stage_drops_rows(spark, small):
+    item = duckdb.sql(f"select text from '{small}/benchmark.parquet' limit 1").fetchall()[0][0]
+    rows = [(1, item, "a"), (1, "clean words here", "b"), (None, item, "c"), (None, None, "d"), (2, None, "e"), (1, "clean words here", "b")]
+    out = decontaminate.stage(spark, spark.createDataFrame(rows, "doc_id int, text string, words string"), small).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([(1, "clean words here", "b"), (None, None, "d"), (2, None, "e"), (1, "clean words here", "b")], key=repr)
 
 
 def test_leaks(spark):
