@@ -2,28 +2,34 @@
 
 Arrivals are appended as small Parquet files. Shards of similar size (one tier is a factor of
 ``RATIO``) are merged into files of about the target size once a tier holds ``FAN_IN`` of them. Each
-change is a new manifest, which lists all live shards. A version is claimed by creating its lock file,
-which only one writer can, and published by renaming the finished manifest; readers take the newest
-manifest, so they see the old or the new state and nothing between. Files of an aborted job are in no
-manifest.
-
-Cases: nulls and repeated rows are stored as they are; an empty arrival adds no shard; an empty store
-reads as an empty table; columns may have any name but ``shard_bin``.
+change is a new manifest, which names all live shards by pages of at most ``PAGE`` shards; a commit
+writes the pages it changes and no others. A version is published by renaming the finished manifest
+to its name, which fails if the name is taken: of two writers one wins, a writer that dies leaves only
+a draft, and readers see the old or the new state and nothing between. That needs a file system whose
+rename is atomic and can refuse to overwrite (HDFS, local disks); plain object stores lack it.
+
+A writer announces its folder before it writes there and withdraws that after its commit. ``vacuum``
+leaves announced folders alone, until the announcement is older than ``LEASE`` seconds (its writer is
+taken for dead), and all shards of the versions it is told to keep.
+
+Cases: nulls and repeated rows are stored as they are; very long texts are rows like others; equal
+sizes are of one tier and merged by name; an empty arrival adds no shard; an empty store reads as an
+empty table; columns may have any name.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import shared_dir, table
 
-RATIO, FAN_IN, MERGES = 4, 4, 32
+RATIO, FAN_IN, PAGE, LEASE = 4, 4, 1000, 86_400
 
 
 class ShardStore:
@@ -52,47 +58,89 @@ class ShardStore:
         names = (s.getPath().getName() for s in self._fs.listStatus(self._path("_manifests")))
         return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
 
-    def manifest(self, version: int | None = None) -> dict:
-        version = self.version() if version is None else version
-        if not version:
-            return {"version": 0, "schema": None, "shards": []}
-        stream = self._fs.open(self._path("_manifests", f"v{version}.json"))
+    def _read(self, *parts: str) -> dict:
+        stream = self._fs.open(self._path(*parts))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def _write(self, name: str, content) -> str:
+        out = self._fs.create(self._path("_manifests", name), False)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        return name
+
+    def manifest(self, version: int | None = None) -> dict:
+        """``version``, ``schema``, ``pages`` and, from these, all live ``shards``."""
+        version = self.version() if version is None else version
+        if not version:
+            return {"version": 0, "schema": None, "pages": [], "shards": []}
+        m = self._read("_manifests", f"v{version}.json")
+        m["shards"] = [s | {"page": p} for p in m["pages"] for s in self._read("_manifests", p)]
+        return m
+
+    def _rename(self, draft: str, name: str) -> None:
+        """Renames without overwriting; raises if the name is taken."""
+        fs = self._jvm.org.apache.hadoop.fs
+        context = fs.FileContext.getFileContext(self._path().toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+        context.rename(self._path("_manifests", draft), self._path("_manifests", name), options)
+
     def commit(self, base: dict, add: list[dict], remove: set[str], schema: str | None) -> dict:
         """Publishes base - remove + add as the next version; fails if another writer took it."""
-        made = {"version": base["version"] + 1, "schema": schema or base["schema"], "shards": [s for s in base["shards"] if s["file"] not in remove] + add}
-        lock = self._path("_manifests", f"v{made['version']}.lock")
-        if not self._fs.createNewFile(lock):
-            raise RuntimeError(f"version {made['version']} is taken by another writer; read it and try again")
-        draft = self._path("_manifests", f"draft-{uuid.uuid4().hex}")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps(made).encode()))
-        out.close()
-        if not self._fs.rename(draft, self._path("_manifests", f"v{made['version']}.json")):
-            raise RuntimeError("the manifest could not be published")
-        return made
+        version, touched = base["version"] + 1, {s["page"] for s in base["shards"] if s["file"] in remove}
+        sizes: dict[str, int] = {}
+        for s in base["shards"]:
+            sizes[s["page"]] = sizes.get(s["page"], 0) + 1
+        last = base["pages"][-1:]
+        if add and last and sizes.get(last[0], 0) + len(add) <= PAGE:
+            touched.add(last[0])  # a page that has room is filled first
+        fresh = [{k: v for k, v in s.items() if k != "page"} for s in base["shards"] if s["page"] in touched and s["file"] not in remove] + add
+        pages = [p for p in base["pages"] if p not in touched]
+        pages += [self._write(f"page-{uuid.uuid4().hex}.json", fresh[k : k + PAGE]) for k in range(0, len(fresh), PAGE)]
+        draft = self._write(f"draft-{uuid.uuid4().hex}", {"version": version, "schema": schema or base["schema"], "pages": pages})
+        try:
+            self._rename(draft, f"v{version}.json")
+        except Exception as error:
+            self._fs.delete(self._path("_manifests", draft), False)
+            raise RuntimeError(f"version {version} is taken by another writer; read it and try again") from error
+        return self.manifest(version)
+
+    def _announced(self, folder: str):
+        """The file that says that a writer is at work in a folder."""
+        return self._path("_writing", folder.rsplit("/", 1)[-1])
+
+    def _begin(self) -> str:
+        folder = f"data/{uuid.uuid4().hex}"
+        self._fs.mkdirs(self._path("_writing"))
+        self._fs.create(self._announced(folder), False).close()
+        return folder
+
+    def _end(self, folder: str) -> None:
+        self._fs.delete(self._announced(folder), False)
 
     def append(self, *arrivals: DataFrame) -> dict:
         """Each arrival becomes immutable shards and a manifest version."""
         base = self.manifest()
         for df in arrivals:
-            folder = f"data/{uuid.uuid4().hex}"
+            folder = self._begin()
             df.write.parquet(f"{self.path}/{folder}")
             base = self._add(base, folder, df.schema.json())
+            self._end(folder)
         return base
 
     def append_split(self, df: DataFrame, arrival, n: int) -> dict:
         """``n`` arrivals told apart by a column of 0..n-1, written by one job, committed one by one."""
-        base, folder = self.manifest(), f"data/{uuid.uuid4().hex}"
-        df.withColumn("shard_bin", arrival).write.partitionBy("shard_bin").parquet(f"{self.path}/{folder}")
+        base, folder, name = self.manifest(), self._begin(), "shard_bin"
+        while name in map(str.lower, df.columns):
+            name += "_"
+        df.withColumn(name, arrival).write.partitionBy(name).parquet(f"{self.path}/{folder}")
         for k in range(n):
-            if self._fs.exists(self._path(folder, f"shard_bin={k}")):
-                files = [{"file": f, "bytes": b, "tier": 0} for f, b in self._in(folder, f"shard_bin={k}")]
+            if self._fs.exists(self._path(folder, f"{name}={k}")):
+                files = [{"file": f, "bytes": b, "tier": 0} for f, b in self._in(folder, f"{name}={k}")]
                 base = self.commit(base, files, set(), df.schema.json())
+        self._end(folder)
         return base
 
     def _in(self, *parts: str) -> list[tuple[str, int]]:
@@ -103,45 +151,44 @@ class ShardStore:
         return self.commit(base, [{"file": f, "bytes": b, "tier": 0} for f, b in self._in(folder)], set(), schema)
 
     def _merges(self, shards: list[dict]) -> list[list[dict]]:
-        """Runs of shards of one tier, each of about the target size; full-sized shards are left alone."""
+        """The tiers to merge: those with ``FAN_IN`` shards or more that aren't full-sized."""
         tiers: dict[int, list[dict]] = {}
         for s in shards:
             if s["bytes"] < 0.75 * self.target:
                 tiers.setdefault(int(math.log(max(s["bytes"], 1), RATIO)), []).append(s)
-        out = []
-        for _, own in sorted(tiers.items()):
-            if len(own) < FAN_IN:
-                continue
-            total = sum(s["bytes"] for s in own)
-            bins = max(1, round(total / self.target))
-            run, size = [], 0
-            for s in own:
-                run.append(s)
-                size += s["bytes"]
-                if size >= total / bins:
-                    out.append(run)
-                    run, size = [], 0
-            if run:
-                out.append(run)
-        return [r for r in out if len(r) > 1]
+        return [own for _, own in sorted(tiers.items()) if len(own) >= FAN_IN]
+
+    def _merging(self):
+        """A session of its own, in which a scan packs whole files into tasks of about the target size."""
+        session = self.spark.newSession()
+        session.conf.set("spark.sql.files.maxPartitionBytes", str(self.target))
+        session.conf.set("spark.sql.files.minPartitionNum", "1")
+        session.conf.set("spark.sql.files.openCostInBytes", "0")
+        return session
 
     def compact(self) -> dict:
         """Merges until no tier is full; each round is one manifest version.
 
-        A merge is one task that reads its run of shards and writes one file, so nothing is shuffled.
-        ``MERGES`` of them go into a job, which keeps its plan small however many there are.
+        A tier is one job: each task reads shards of about the target size together and writes one file,
+        so nothing is shuffled, and there are as many tasks as files to be made.
         """
-        base = self.manifest()
+        base, session = self.manifest(), self._merging()
         while merges := self._merges(base["shards"]):
-            schema, add = self._schema(base), []
-            tier = 1 + max(s["tier"] for run in merges for s in run)
-            for k in range(0, len(merges), MERGES):
-                parts = [self.spark.read.schema(schema).parquet(*(f"{self.path}/{s['file']}" for s in run)).coalesce(1) for run in merges[k : k + MERGES]]
-                folder = f"data/{uuid.uuid4().hex}"
-                reduce(DataFrame.unionAll, parts).write.parquet(f"{self.path}/{folder}")
-                add += [{"file": f, "bytes": b, "tier": tier} for f, b in self._in(folder)]
-            base = self.commit(base, add, {s["file"] for run in merges for s in run}, None)
-            if all(s["bytes"] >= 0.75 * self.target for s in add) or len(add) >= sum(map(len, merges)):
+            schema, add, gone, folders = self._schema(base), [], set(), []
+            for own in merges:
+                folder = self._begin()
+                folders.append(folder)
+                rows = session.read.schema(schema).parquet(*(f"{self.path}/{s['file']}" for s in own))
+                rows.write.parquet(f"{self.path}/{folder}")
+                made = self._in(folder)
+                if len(made) < len(own):
+                    add += [{"file": f, "bytes": b, "tier": 1 + max(s["tier"] for s in own)} for f, b in made]
+                    gone |= {s["file"] for s in own}
+            if gone:
+                base = self.commit(base, add, gone, None)
+            for folder in folders:
+                self._end(folder)
+            if not gone:
                 break
         return base
 
@@ -158,11 +205,21 @@ class ShardStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(self._schema(m)).parquet(*(f"{self.path}/{s['file']}" for s in m["shards"]))
 
-    def vacuum(self) -> int:
-        """Deletes files that the newest manifest doesn't list; returns how many."""
-        live, n = {s["file"] for s in self.manifest()["shards"]}, 0
-        for f, _ in self._files("data"):
-            if f not in live:
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes files that none of the newest ``keep`` manifests lists and no writer is at work on; returns how many.
+
+        Versions older than these can't be read afterwards; keep as many as the longest reader needs.
+        """
+        writing = set()
+        if self._fs.exists(self._path("_writing")):
+            for s in self._fs.listStatus(self._path("_writing")):
+                if time.time() - s.getModificationTime() / 1000 < LEASE:
+                    writing.add(s.getPath().getName())
+        found, n = [f for f, _ in self._files("data")], 0  # listed before the manifests: a commit between only adds to these
+        newest = self.version()
+        live = {s["file"] for v in range(max(1, newest - keep + 1), newest + 1) for s in self.manifest(v)["shards"]}
+        for f in found:
+            if f not in live and f.split("/")[1] not in writing:
                 n += bool(self._fs.delete(self._path(f), False))
         return n
 

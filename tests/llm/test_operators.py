@@ -395,6 +395,72 @@ def test_shard_store(spark, tmp_path, docs, texts):
     assert store.read().count() == len(texts)
 
 
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_dead_writers_block_nothing(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"))
+    store.append(spark.range(3).toDF("a"))
+    folder = store._begin()  # dies while it writes
+    spark.range(9).toDF("a").write.parquet(f"{store.path}/{folder}")
+    store._write("draft-dead", {"version": 2})  # dies before it publishes
+    store.append(spark.range(3, 5).toDF("a"))
+    assert store.version() == 2 and store.read().count() == 5
+    assert store.vacuum() == 0  # the first writer may be alive
+    monkeypatch.setattr(sharding, "LEASE", -1)
+    assert store.vacuum() > 0 and store.read().count() == 5
+
+
+def test_vacuum_spares_running_appends_and_kept_versions(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), 1 << 20)
+    for k in range(4):
+        store.append(spark.range(k, k + 1).toDF("a"))
+    before = store.version()
+    folder = store._begin()
+    spark.range(100, 102).toDF("a").write.parquet(f"{store.path}/{folder}")
+    store.compact()
+    assert store.vacuum(keep=2) == 0 and store.read(before).count() == 4
+    assert store.vacuum() > 0 and rows_of(store.read()) == [(k,) for k in range(4)]
+    store._add(store.manifest(), folder, before and store.manifest()["schema"])
+    store._end(folder)
+    assert store.read().count() == 6
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    one, two = (sharding.ShardStore(spark, str(tmp_path / "s")) for _ in range(2))
+    one.append(spark.range(2).toDF("a"))
+    base = two.manifest()
+    one.append(spark.range(2).toDF("a"))
+    with pytest.raises(RuntimeError):
+        two.commit(base, [], set(), None)
+    assert one.read().count() == 4
+
+
+def test_pages_of_a_manifest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "PAGE", 3)
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), 1 << 20)
+    for k in range(5):
+        store.append(spark.range(10 * k, 10 * k + 2).coalesce(1).toDF("a"))
+    m = store.manifest()
+    assert len(m["pages"]) == 2 and len(m["shards"]) == 5
+    store.compact()
+    assert len(store.manifest()["shards"]) == 1 and store.read().count() == 10
+
+
+def test_arrivals_with_any_column_names(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"t{k}", None if k % 2 else k) for k in range(40)], "a long, SHARD_bin string, shard_bin_ long")
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), 1 << 20)
+    store.append_split(df, F.col("a") % 5, 5)
+    store.compact()
+    assert store.read().columns == df.columns and rows_of(store.read()) == rows_of(df)
+
+
+def test_sharding_query_returns_every_document(spark, small):
+    want = sorted((d, len(t or ""), zlib.crc32((t or "").encode())) for d, t in duckdb.sql(f"select doc_id, text from '{small}/documents.parquet'").fetchall())
+    assert sorted(tuple(r)[:3] for r in sharding.query(spark, small).collect()) == want
+
+
 # 7
 
 
