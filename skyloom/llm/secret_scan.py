@@ -2,23 +2,31 @@
 
 Every version of a text is a blob, named by the SHA-256 of its bytes. A ledger holds which pairs
 of blob and rule version were scanned, and the spans that were found. A scan takes only pairs that
-the ledger lacks; findings then go to every path that has the blob. A blob that stands at thousands
-of paths is thus scanned once, and its text is shuffled once for each task that read it.
-
-Cases: null texts count as empty, and have no spans; repeated rows give repeated results; an empty
-table gives an empty result; further columns of the versions table are left out of the findings.
+the ledger lacks; findings then go to every path and version that has the blob. A blob that stands at
+thousands of paths is thus scanned once, and its text is shuffled once for each task that read it.
+
+``Ledger`` keeps the ledger in a folder of the shared store: each update adds one folder of rows, which
+counts from the moment its job has ended, so a lost run adds nothing and the next one scans again.
+Give it the same path run after run and old blobs are never read by a rule again; a query or stage
+that is given none starts an empty one.
+
+Cases: null texts count as empty, and have no spans; very long texts are scanned whole, in time in
+proportion to their length; spans at one place go in the order of the rules; repeated rows give
+repeated results, blobs that two updates added at once count once; an empty table gives an empty
+result; further columns of the versions table are kept, clashing names apart.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import table, written
+from skyloom.llm.common import shared_dir, table
 
 #: Rule set name; a change of any rule needs another name, so that old blobs are scanned again.
 RULES_VERSION = "2026-11-a"
@@ -94,7 +102,7 @@ def findings(versions: DataFrame, ledger: DataFrame, text: str = "text", blob: s
 
     Blobs without spans stay out of the join's right side; it is small and has each blob once.
     """
-    known = ledger.where((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    known = ledger.where((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     keyed = versions.drop(blob, spans).withColumn(blob, blob_id(F.col(text)))
     return keyed.join(known, blob, "left").withColumn(spans, F.coalesce(spans, F.array().cast(SPANS)))
 
@@ -103,37 +111,71 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by ``[REDACTED]``; spans that overlap become one.
+class Ledger:
+    """The scanned pairs of blob and rule version, in a folder; each update is one folder in it."""
+
+    SCHEMA = f"blob string, rules string, spans {SPANS}"
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark = spark
+        self.path = path or f"{shared_dir(spark)}/skyloom/{spark.sparkContext.applicationId}/ledger-{uuid.uuid4().hex}"
+        self._fs = self._at().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+
+    def rows(self) -> DataFrame:
+        done = []
+        if self._fs.exists(self._at()):
+            names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._at()))
+            done = [f"{self.path}/{n}" for n in names if self._fs.exists(self._at(n, "_SUCCESS"))]
+        return self.spark.read.schema(self.SCHEMA).parquet(*done) if done else self.spark.createDataFrame([], self.SCHEMA)
+
+    def update(self, versions: DataFrame, text: str = "text") -> DataFrame:
+        """Scans what the ledger lacks of ``versions``, and gives all its rows."""
+        seen = self.rows()
+        new = scan(versions, text, None if seen.isEmpty() else seen)
+        new.write.parquet(f"{self.path}/update-{uuid.uuid4().hex}")
+        return self.rows()
+
+
+def redacted(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with every span (start, end; by start) replaced by ``[REDACTED]``; spans that overlap become one."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], "[REDACTED]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
 
-    Parts are cut between the running end of the earlier spans and the next start, in one pass.
-    """
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]
-        piece = F.when(fresh, F.concat(acc["out"], text.substr(acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("[REDACTED]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), piece.alias("out"))
+def _redact(columns: list[str], found: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sizes = [], []
+            own = {c: batch.column(c) for c in columns}
+            changed = [len(s) > 0 for s in batch.column(found)]
+            for k, (text, spans) in enumerate(zip(own["text"], batch.column(found))):
+                texts.append(redacted(text.as_py() or "", [(s["start"], s["end"]) for s in spans.as_py()]) if changed[k] else text.as_py())
+            if "n_chars" in own:
+                sizes = [len(t) if c else n.as_py() for t, c, n in zip(texts, changed, own["n_chars"])]
+                own["n_chars"] = pa.array(sizes, own["n_chars"].type)
+            own["text"] = pa.array(texts, own["text"].type)
+            yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return run
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(spark: SparkSession, sf_dir: str, ledger_path: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = written(scan(docs), "ledger")
-    found = findings(docs, ledger)
+    found = findings(docs, Ledger(spark, ledger_path).update(docs))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, ledger_path: str | None = None) -> DataFrame:
     """Documents with all secrets blanked out; ``n_chars`` follows the text where it changed."""
-    columns = docs.columns
-    ledger = written(scan(docs.select("text")), "ledger")
     found = "spans of secrets"
-    out = findings(docs, ledger, blob="blob of text", spans=found).withColumn("text", redact(F.col("text"), F.col(found)))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    rows = findings(docs, Ledger(spark, ledger_path).update(docs.select("text")), blob="blob of text", spans=found)
+    return rows.select(*docs.columns, found).mapInArrow(_redact(docs.columns, found), docs.schema)

@@ -599,6 +599,46 @@ def test_ledger_scans_unseen_blobs_only(spark):
     assert secret_scan.scan(documents(spark, [])).count() == 0
 
 
+def test_kept_ledger_over_versions_and_runs(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    history = [("a.txt", 1, "token=abcdef"), ("a.txt", 2, "clean"), ("b.txt", 1, "token=abcdef"), ("b.txt", 2, "key AKIA" + "B2" * 10), ("c.txt", 1, None)]
+    first = spark.createDataFrame(history[:3], "path string, version int, text string")
+    every = spark.createDataFrame(history, "path string, version int, text string")
+    assert secret_scan.Ledger(spark, path).update(first).count() == 2
+    kept = secret_scan.Ledger(spark, path)
+    rows = kept.update(every)
+    assert rows.count() == 4  # the first run's two blobs weren't scanned again
+    got = {(r["path"], r["version"]): [s["kind"] for s in r["spans"]] for r in secret_scan.findings(every, rows).collect()}
+    assert got == {("a.txt", 1): ["assign"], ("a.txt", 2): [], ("b.txt", 1): ["assign"], ("b.txt", 2): ["access"], ("c.txt", 1): []}
+    assert kept.update(every).count() == 4
+    (tmp_path / "ledger" / "update-lost").mkdir()  # a run that was lost before its job had ended
+    assert kept.rows().count() == 4
+    monkeypatch.setattr(secret_scan, "RULES_VERSION", "another")
+    assert kept.update(every).count() == 8
+    secret_scan.scan(every).write.parquet(f"{path}/update-twin")  # two runs at once
+    assert secret_scan.findings(every, kept.rows()).count() == 5
+
+
+def test_more_rules_equal_plain_search(texts):
+    odd = ["-----BEGIN RSA PRIVATE KEY-----\nMIIB+/=\n-----END RSA PRIVATE KEY----- x", "xoxb-1234567890-abc", "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh12", "gho_" + "Z9" * 18, "ftp://u:p@h ftp://user:pass@h", "-----BEGIN PRIVATE KEY-----"]
+    for t in [x or "" for x in texts] + SECRETS + odd:
+        want = []
+        for order, (kind, pattern, least, group) in enumerate(secret_scan.BASE_RULES + secret_scan.MORE_RULES):
+            want += [(m.start(), order, kind, m.end()) for m in re.finditer(pattern, t, re.ASCII) if len(m[group]) >= least]
+        assert secret_scan.find(t) == [(k, a, b) for a, _, k, b in sorted(want)]
+    assert {k for t in odd for k, _, _ in secret_scan.find(t)} == {k for k, *_ in secret_scan.MORE_RULES}
+
+
+def test_redaction_of_many_spans_is_quick():
+    import time
+
+    text = "token=abcdef12 é " * 20_000
+    began = time.time()
+    out = secret_scan.redacted(text, [(a, b) for _, a, b in secret_scan.find(text)])
+    assert out == "[REDACTED] é " * 20_000 and time.time() - began < 2
+    assert secret_scan.redacted("abcdef", [(1, 3), (2, 4), (4, 5)]) == "a[REDACTED][REDACTED]f"
+
+
 def test_redaction(spark):
     out = secret_scan.stage(spark, documents(spark, ["é token=abcdef12 ok", "plain", None]), "").orderBy("doc_id").collect()
     assert [r["text"] for r in out] == ["é [REDACTED] ok", "plain", None]
