@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import table
+from skyloom.llm.common import table, written
 
 #: (host, path, verdict)
 LISTED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -104,13 +104,18 @@ def mined(pages: DataFrame, labels: DataFrame, seeds: tuple[str, ...] = ()) -> D
 
 
 def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(page_id, url, host, path, rule, verdict)``; mined rules are matched once for each distinct URL."""
+    """``(page_id, url, host, path, rule, verdict)``; mined rules are matched once for each distinct URL.
+
+    Rules are written first, so that their size is known and decides how they are joined: as they are
+    few, common tokens of URLs go to no shuffle.
+    """
+    rules = written(rules, "rules")
     urls = pages.select("url").where("url is not null").distinct().withColumn("tokens", tokens(F.col("url")))
     looked = urls.select("url", "tokens", F.explode("tokens").alias("token"))
     held = looked.join(rules.select(F.explode("rule_tokens").alias("token")).distinct(), "token").groupBy("token").count()
     filed = rules.withColumn("rule_no", F.xxhash64("rule_tokens"))
     rarest = filed.select("rule_no", F.explode("rule_tokens").alias("token")).join(held, "token").groupBy("rule_no").agg(F.min(F.struct("count", "token"))["token"].alias("token"))
-    filed = filed.join(rarest, "rule_no").select("token", "rule_tokens", "confidence")
+    filed = written(filed.join(rarest, "rule_no").select("token", "rule_tokens", "confidence"), "filed")
     hit = looked.join(filed, "token").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
     blocked = hit.groupBy("url").agg(F.max("confidence").alias("confidence"))
     rule, verdict = listed()

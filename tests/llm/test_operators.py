@@ -161,6 +161,69 @@ def test_html_repeated_passages_without_an_article(spark):
     assert got == {k: b for k, b in enumerate(bodies)} | {10: site, 11: bodies[0], 12: bodies[0]}
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><div class='search-result'><p>real body text</p></div><p>rest</p></article>", "real body text\nrest"),
+    ("<main><section class='related-work'><p>others did so</p></section></main>", "others did so"),
+    ("<div class='social-science'><p>a field of study</p></div>", "a field of study"),
+    ("<article><p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><div class='ad-box'>buy</div><div class=share-buttons>tweet</div></article>", "let x=1 be\ntweet"),
+])
+def test_names_among_other_words_settle_nothing(spark, page, text):
+    assert html_text.extracted(spark.createDataFrame([(1, "http://a.b/", page)], "page_id long, url string, html string")).first()["text"] == text
+
+
+def test_hinted_blocks_go_where_the_host_repeats_them(spark):
+    rng = random.Random(16)
+    share = "tell all your friends about this page right now"
+    rows = [(k, "http://a.example/", f"<article><p>{prose(rng, 30)}</p><div class='share-buttons'>{share}</div><div class='search-result'>{prose(rng, 9)}</div></article>") for k in range(4)]
+    rows.append((9, "http://b.example/", f"<article><p>x</p><div class='share-buttons'>{share}</div></article>"))
+    for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert (share in r["text"]) == (r["page_id"] == 9) and len(r["text"].split("\n")) == 2
+
+
+def made_pages(rng):
+    """(host, page, blocks) of small vocabularies, so that runs of any length repeat within and across pages."""
+    phrases = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(4, 40))) for _ in range(5)]
+    return [(rng.choice("hg"), k, [(" ".join([*(rng.choice("abcdefghij") for _ in range(rng.randrange(0, 9))), rng.choice(phrases), *(rng.choice("abcdefghij") for _ in range(rng.randrange(0, 4)))]), rng.choice([1, 1, 2, 3, 0])) for _ in range(rng.randrange(1, 5))]) for k in range(14)]
+
+
+def test_suffix_array_equals_brute_force(spark):
+    rng = random.Random(17)
+    made = made_pages(rng)
+    parsed = spark.createDataFrame([(h, p, [{"text": t, "zone": z} for t, z in b]) for h, p, b in made], "host string, page long, blocks array<struct<text:string,zone:tinyint>>")
+    streams = {(h, p): html_text.stream(b) for h, p, b in made}
+    suffixes = defaultdict(list)
+    for (h, p), (tokens, _) in streams.items():
+        suffixes[h] += [(tokens[k : k + html_text.DEPTH], p) for k in range(len(tokens) - html_text.LEAST + 1)]
+    want = {}
+    for h, own in suffixes.items():
+        for t, p in own:
+            run = max((html_text.common(t, u) for u, q in own if q != p), default=0)
+            if run >= html_text.LEAST:
+                key = (h, " ".join(t))
+                want[key] = max(want.get(key, 0), run)
+    got = {(r["host"], r["suffix"]): r["run"] for r in html_text.repeated(parsed.coalesce(1)).collect()}
+    assert set(got) == set(want)
+    assert all(html_text.LEAST <= got[k] <= want[k] for k in want)  # an edge of a range may cut a run
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert {(r["host"], r["suffix"]): r["run"] for r in html_text.repeated(parsed).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    # the blocks that substrings of LEAST tokens or more on two pages cover, by trying all
+    gone = {r["page"]: sorted(r["gone"]) for r in html_text.covered(parsed, parsed).collect()}
+    for (h, p), (tokens, of) in streams.items():
+        cover = [False] * len(tokens)
+        for (g, q), (other, _) in streams.items():
+            if g == h and q != p:
+                for i in range(len(tokens)):
+                    for j in range(len(other)):
+                        n = html_text.common(tokens[i:], other[j:])
+                        if n >= html_text.LEAST:
+                            cover[i : i + n] = [True] * n
+        size, hit = Counter(of), Counter(k for k, c in zip(of, cover) if c)
+        assert gone.get(p, []) == [k for k in sorted(size) if hit[k] >= html_text.COVERED * size[k]], p
+
+
 def test_html_pages(spark, small):
     import html as h
 
