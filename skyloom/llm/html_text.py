@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import table, written
 from skyloom.llm.url_filter import host
 
-LEAST, DEPTH, COVERED = 5, 24, 0.8
+LEAST, DEPTH, COVERED = 5, 10, 0.8
 #: Zones of a block, by rank. HINTED: in an article, under a name that may mean boilerplate.
 ARTICLE, OPEN, HINTED, DROPPED, SKIPPED = 0, 1, 2, 3, 4
 
