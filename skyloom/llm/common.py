@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,15 @@ SPACES = "\\x20\\x09-\\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the cluster names it.
 
-    It is read from ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a
-    temporary folder is made and set for the session.
+    It is read from ``spark.checkpoint.dir``. Only where that is unset in local mode, as in tests, a
+    temporary folder is made and set for the session; on a cluster that raises, as no executor would
+    see the folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="skyloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
