@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ARCSEC = math.pi / 648000.0
+SECOND_OF_ARC = math.pi / 648000.0
 #: Exponents of (u, v) in the order in which polynomial coefficients are kept (fixed values).
 TERMS = ((0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2), (3, 0), (2, 1), (1, 2), (0, 3))
 
@@ -33,14 +33,14 @@ def gnomonic(ra0, dec0, ra, dec, cdelt: float = 1.0) -> tuple[Column, Column]:
     """Sky to standard coordinates about (ra0, dec0)."""
     ra0, dec0, ra, dec = map(col, (ra0, dec0, ra, dec))
     dra = ra - ra0
-    depth = (F.cos(dec0) * F.cos(dec) * F.cos(dra) + F.sin(dec0) * F.sin(dec)) * (ARCSEC * cdelt)
+    depth = (F.cos(dec0) * F.cos(dec) * F.cos(dra) + F.sin(dec0) * F.sin(dec)) * (SECOND_OF_ARC * cdelt)
     return -F.cos(dec) * F.sin(dra) / depth, (F.cos(dec0) * F.sin(dec) - F.sin(dec0) * F.cos(dec) * F.cos(dra)) / depth
 
 
 def inverse_gnomonic(ra0, dec0, x, y, cdelt: float = 1.0) -> tuple[Column, Column]:
     """Standard coordinates to sky, right ascension in [0, 2 pi)."""
     ra0, dec0 = col(ra0), col(dec0)
-    xs, ys = col(x) * (ARCSEC * cdelt), col(y) * (ARCSEC * cdelt)
+    xs, ys = col(x) * (SECOND_OF_ARC * cdelt), col(y) * (SECOND_OF_ARC * cdelt)
     ra = ra0 + F.atan2(-xs, F.cos(dec0) - ys * F.sin(dec0))
     dec = F.asin((F.sin(dec0) + ys * F.cos(dec0)) / F.sqrt(1 + xs * xs + ys * ys))
     return pmod(ra, 2 * math.pi), dec
@@ -183,6 +183,7 @@ def least_stars(n) -> Column:
 
 
 def f_statistic(rss_lo, rss_hi, terms_lo: int, terms_hi: int, n) -> Column:
-    """F of two nested fits of both axes; null without degrees of freedom."""
-    dof1, dof2 = 2 * (terms_hi - terms_lo), 2 * (col(n) - terms_hi)
-    return F.when((dof2 > 0) & (col(rss_hi) > 0), ((col(rss_lo) - col(rss_hi)) / dof1) / (col(rss_hi) / dof2))
+    """F of two nested fits of both axes, with one degree of freedom at least; a perfect fit is infinitely better, or as good."""
+    lo, hi = col(rss_lo), col(rss_hi)
+    dof1, dof2 = 2 * (terms_hi - terms_lo), F.greatest(2 * (col(n) - terms_hi), F.lit(1))
+    return F.when(hi > 0, ((lo - hi) / dof1) / (hi / dof2)).when(lo > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))

@@ -88,18 +88,60 @@ def wcs_cards() -> Column:
     return F.array(*head, *[float_card(k, c) for k, c in numbers], logical_card("PLTSOLVD", F.lit(True)), F.rpad(F.lit("END"), 80, " "))
 
 
-def ini_text() -> Column:
-    """The summary of a solution as key=value lines."""
-    keys = [("CRPIX1", "crpix1"), ("CRPIX2", "crpix2"), ("CDELT1", "cdelt1"), ("CDELT2", "cdelt2"), ("CROTA2", "crota2"), *[(k.upper(), k) for k in ("cd1_1", "cd1_2", "cd2_1", "cd2_2")]]
-    lines = [F.lit("PLTSOLVD=T"), F.concat(F.lit("CRVAL1="), exponent(F.degrees("ra0"))), F.concat(F.lit("CRVAL2="), exponent(F.degrees("dec0")))]
-    lines += [F.concat(F.lit(f"{k}="), exponent(F.col(c))) for k, c in keys]
-    return F.concat_ws("\n", *lines, F.concat(F.lit("NSTARS="), F.col("stars_matched").cast("string")), F.concat(F.lit("RMS="), exponent(F.col("rms"))))
+def plain_exponent(c: Column, digits: int = 13) -> Column:
+    """A number as ``m.13Ee``, the exponent as short as it can be."""
+    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}E", c), "E[+]0?", "E"), "E-0", "E-")
 
 
-def star_line(x: Column, y: Column, hfd: Column, snr: Column) -> Column:
-    """A star as CSV, pixels from 1; SNR rounds half to even."""
-    four = lambda c: F.format_string("%.4f", c)
-    return F.concat_ws(",", four(x + 1), four(y + 1), four(hfd), F.rint(snr).cast("long").cast("string"))
+def ini_text(stars: Column | None = None, cmdline: Column | None = None, warning: Column | None = None, crota1: Column | None = None) -> Column:
+    """The summary of a solution as key=value lines; NQUADS holds the matched stars, as readers of such files expect."""
+    line = lambda key, value: F.concat(F.lit(f"{key}="), value)
+    fixed = lambda c, n: F.format_string(f"%.{n}f", c)
+    out = [F.lit("PLTSOLVD=T"), line("CRPIX1", plain_exponent(F.col("crpix1"))), line("CRPIX2", plain_exponent(F.col("crpix2")))]
+    out += [line("CRVAL1", fixed(F.degrees("ra0"), 9)), line("CRVAL2", fixed(F.degrees("dec0"), 9)), line("CDELT1", plain_exponent(F.col("cdelt1"))), line("CDELT2", plain_exponent(F.col("cdelt2")))]
+    out += [line("CROTA1", fixed(F.col("crota2") if crota1 is None else crota1, 4)), line("CROTA2", fixed(F.col("crota2"), 4))]
+    out += [line(k.upper(), plain_exponent(F.col(k))) for k in ("cd1_1", "cd1_2", "cd2_1", "cd2_2")]
+    out.append(line("CMDLINE", F.lit("") if cmdline is None else cmdline))
+    if warning is not None:
+        out.append(F.when(warning.isNotNull(), line("WARNING", warning)))
+    out += [line("NSTARS", (F.col("stars_matched") if stars is None else stars).cast("string")), line("NQUADS", F.col("stars_matched").cast("string")), line("RMS", fixed(F.col("rms"), 4))]
+    return F.concat_ws("\n", *out)
+
+
+#: Order and terms of the polynomials; the B block names its linear terms the other way round (fixed values).
+SIP_ORDER, SIP_TERMS = 3, ((0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2), (3, 0), (2, 1), (1, 2), (0, 3))
+
+
+def sip_keywords(a: Column, b: Column, ap: Column, bp: Column) -> Column:
+    """An array of (key, value) of a SIP solution, from its four arrays of coefficients in the order of ``SIP_TERMS``."""
+    out = []
+    for name, values in (("A", a), ("B", b), ("AP", ap), ("BP", bp)):
+        places = [0, 2, 1, *range(3, 10)] if name == "B" else range(10)
+        out.append(F.struct(F.lit(f"{name}_ORDER").alias("key"), F.lit(float(SIP_ORDER)).alias("value")))
+        out += [F.struct(F.lit(f"{name}_{SIP_TERMS[k][0]}_{SIP_TERMS[k][1]}").alias("key"), F.get(values, k).alias("value")) for k in places]
+    return F.array(*out)
+
+
+def report(hfd: Column, stars: Column) -> Column:
+    """The two lines of an analysis; without stars the size is 21.47 (fixed value)."""
+    return F.concat(F.lit("HFD_MEDIAN="), F.when(stars > 0, F.format_string("%.2f", hfd)).otherwise("21.47"), F.lit("\nSTARS="), stars.cast("string"))
+
+
+def least_snr(given: Column) -> Column:
+    """The least signal to noise; 0 stands for the default of 30."""
+    return F.when(given == 0, 30.0).otherwise(given.cast("double"))
+
+
+#: The first line of a star list, whatever columns follow (fixed value).
+STAR_HEADER = "x,y,hfd,snr,flux,ra[0..360],dec[0..360]"
+
+
+def star_line(x: Column, y: Column, hfd: Column, snr: Column, flux: Column, ra: Column | None = None, dec: Column | None = None) -> Column:
+    """A star as CSV, pixels from 1; SNR and flux round half to even; with a solution its place (radians) in degrees."""
+    form = lambda c, n: F.format_string(f"%.{n}f", c)
+    whole = lambda c: F.rint(c).cast("long").cast("string")
+    sky = [] if ra is None else [form(F.degrees(ra), 8), form(F.degrees(dec), 8)]
+    return F.concat_ws(",", form(x + 1, 4), form(y + 1, 4), form(hfd, 4), whole(snr), whole(flux), *sky)
 
 
 def ra_text(ra: Column) -> Column:
@@ -117,7 +159,15 @@ def dec_text(dec: Column) -> Column:
 def human_bytes(n: Column) -> Column:
     """Bytes with a decimal unit."""
     one = lambda d, unit: F.concat(F.format_string("%.1f", n / d), F.lit(unit))
-    return F.when(n < 10**3, F.concat(n.cast("string"), F.lit(" B"))).when(n < 10**6, one(1e3, " kB")).when(n < 10**9, one(1e6, " MB")).otherwise(one(1e9, " GB"))
+    return F.when(n < 10**3, F.concat(n.cast("string"), F.lit(" B"))).when(n < 10**6, one(1e3, " kB")).when(n < 10**9, one(1e6, " MB")).when(n < 10**12, one(1e9, " GB")).otherwise(one(1e12, " TB"))
+
+
+def duration(seconds: Column) -> Column:
+    """A duration as people say it."""
+    nearest = lambda c: F.floor(c + 0.5).cast("long")
+    minutes = nearest(seconds / 60)
+    return (F.when(seconds < 10, "under 10 s").when(seconds < 55, F.format_string("~%d s", nearest(seconds / 5) * 5))
+            .when(seconds < 3600, F.format_string("~%d min", F.greatest(minutes, F.lit(1)))).otherwise(F.format_string("~%d h %d min", F.floor(minutes / 60), minutes % 60)))
 
 
 def exit_code(hfd: Column, n: Column) -> Column:
@@ -134,4 +184,4 @@ def scale_warning(assumed: Column, solved: Column) -> Column:
 
 def csv_path(image: Column) -> Column:
     """An image's path with the ending .csv."""
-    return F.regexp_replace(image, "(\\.[^./]*)?$", ".csv")
+    return F.concat(F.regexp_replace(image, "\\.[^./]*$", ""), F.lit(".csv"))

@@ -143,10 +143,10 @@ def _(spark, d):
 
 
 @query("g26_g27_thresholds", """SELECT star_id, CAST(least(30, greatest(10, ceil(star_id * 0.15e0))) AS BIGINT) AS least_stars,
-  round(((mag * mag + 5e0) - mag) / 14 / (mag / (2e0 * (star_id + 20 - 10))), 6) + 0e0 AS f FROM sky_stars WHERE mag > 0""", ("sky_stars",))
+  CASE WHEN star_id % 9 = 0 THEN 'Infinity'::DOUBLE ELSE round(((mag * mag + 5e0) - mag) / 14 / (mag / greatest(1, 2e0 * (star_id - 10))), 6) + 0e0 END AS f FROM sky_stars WHERE mag > 0""", ("sky_stars",))
 def _(spark, d):
     s = V.view(spark, d, "sky_stars").where("mag > 0")
-    return named(s, "star_id", least_stars=sphere.least_stars("star_id"), f=r(sphere.f_statistic(F.col("mag") * F.col("mag") + 5, "mag", 3, 10, F.col("star_id") + 20)))
+    return named(s, "star_id", least_stars=sphere.least_stars("star_id"), f=r(sphere.f_statistic(F.col("mag") * F.col("mag") + 5, F.when(F.col("star_id") % 9 == 0, 0.0).otherwise(F.col("mag")), 3, 10, F.col("star_id"))))
 
 
 # Pattern descriptors
@@ -364,11 +364,11 @@ def _(spark, d):
     return V.view(spark, d, "field_stars").select("star_id", catalogue_scan.header_mag(F.floor(F.col("mag") * 10).cast("long") % 200).alias("mag"))
 
 
-@query("k14_density", """SELECT name, CASE WHEN name = 'w08' THEN 1 WHEN nn IN (0, 17, 18) THEN NULL ELSE nn * 100 END AS density FROM (
-  SELECT name, CAST(substr(name, 2, 2) AS BIGINT) AS nn FROM (SELECT DISTINCT substr('dgvw', CAST(p_partkey % 4 + 1 AS INT), 1) || lpad(CAST(p_partkey % 90 AS VARCHAR), 2, '0') AS name FROM part))""")
+@query("k14_density", """SELECT name, CASE WHEN lower(name) = 'w08' THEN 1 WHEN nn IN (0, 17, 18) THEN NULL ELSE nn * 100 END AS density FROM (
+  SELECT name, CAST(substr(name, 2, 2) AS BIGINT) AS nn FROM (SELECT DISTINCT substr('dgvW', CAST(p_partkey % 4 + 1 AS INT), 1) || lpad(CAST(p_partkey % 90 AS VARCHAR), 2, '0') AS name FROM part))""")
 def _(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet")
-    name = F.concat(F.substring(F.lit("dgvw"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1)), F.lpad((F.col("p_partkey") % 90).cast("string"), 2, "0")).alias("name")
+    name = F.concat(F.substring(F.lit("dgvW"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1)), F.lpad((F.col("p_partkey") % 90).cast("string"), 2, "0")).alias("name")
     return p.select(name).distinct().select("name", catalogue_scan.density(F.col("name")).alias("density"))
 
 
@@ -402,9 +402,9 @@ def _(spark, d):
     return V.view(spark, d, "sky_stars").select("star_id", text.float_card("CRVAL1", F.round(F.degrees("ra"), 8)).alias("card"))
 
 
-@query("w08_star_csv", """SELECT star_id, printf('%.4f', x + 1) || ',' || printf('%.4f', y + 1) || ',' || printf('%.4f', hfd) || ',' || CAST(CAST(round_even(snr, 0) AS BIGINT) AS VARCHAR) AS line FROM detections""", ("detections",))
+@query("w08_star_csv", """SELECT star_id, printf('%.4f', x + 1) || ',' || printf('%.4f', y + 1) || ',' || printf('%.4f', hfd) || ',' || CAST(CAST(round_even(snr, 0) AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(round_even(snr * hfd, 0) AS BIGINT) AS VARCHAR) || ',' || printf('%.8f', star_id % 360 + 0.25e0) || ',' || printf('%.8f', 45.5e0 - star_id % 90) AS line FROM detections""", ("detections",))
 def _(spark, d):
-    return V.view(spark, d, "detections").select("star_id", text.star_line(F.col("x"), F.col("y"), F.col("hfd"), F.col("snr")).alias("line"))
+    return V.view(spark, d, "detections").select("star_id", text.star_line(F.col("x"), F.col("y"), F.col("hfd"), F.col("snr"), F.col("snr") * F.col("hfd"), F.radians(F.col("star_id") % 360 + 0.25), F.radians(45.5 - F.col("star_id") % 90)).alias("line"))
 
 
 @query("w11_sexagesimal", """SELECT star_id, printf('%02d %02d %02d.%d', t // 36000, t // 600 % 60, t // 10 % 60, t % 10) AS ra FROM (SELECT star_id, CAST(floor(ra * 12e0 / pi() * 36000e0 + 0.5e0) AS BIGINT) % 864000 AS t FROM sky_stars)""", ("sky_stars",))
@@ -414,26 +414,25 @@ def _(spark, d):
 
 # Patterns and joins
 
-_TOP = "SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY mag, star_id) AS top FROM std_stars"
+_TOP = "SELECT * FROM std_stars"
 _KNN = """SELECT a.field_id, a.star_id, b.star_id AS nb, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, row_number() OVER (PARTITION BY a.field_id, a.star_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.star_id) AS slot
   FROM top a JOIN top b ON a.field_id = b.field_id AND a.star_id <> b.star_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) > 1"""
 
 
-def _top(spark, d, n: int = 40) -> DataFrame:
-    return patterns.brightest(V.view(spark, d, "std_stars"), n, "field_id", ["mag", "star_id"])
+def _top(spark, d) -> DataFrame:
+    return V.view(spark, d, "std_stars")
 
 
-def _top_detections(spark, d, n: int = 40) -> DataFrame:
-    s = V.view(spark, d, "detections")
-    return patterns.brightest(s, n, "field_id", [F.desc("snr"), "star_id"])
+def _top_detections(spark, d) -> DataFrame:
+    return V.view(spark, d, "detections")
 
 
-@query("n01_nearest_neighbours", f"WITH top AS (SELECT * FROM ({_TOP}) WHERE top <= 40), k AS ({_KNN}) SELECT field_id, star_id, nb, CAST(slot AS BIGINT) AS slot FROM k WHERE slot <= 8", ("std_stars",))
+@query("n01_nearest_neighbours", f"WITH top AS ({_TOP}), k AS ({_KNN}) SELECT field_id, star_id, nb, CAST(slot AS BIGINT) AS slot FROM k WHERE slot <= 8", ("std_stars",))
 def _(spark, d):
     return joins.nearest_neighbours(_top(spark, d), 8, "field_id").select("field_id", "star_id", "nb", F.col("slot").cast("long").alias("slot"))
 
 
-_QUADS = f"""WITH top AS (SELECT * FROM ({_TOP}) WHERE top <= 40), k AS (SELECT * FROM ({_KNN}) WHERE slot <= 8),
+_QUADS = f"""WITH top AS ({_TOP}), k AS (SELECT * FROM ({_KNN}) WHERE slot <= 8),
   m AS (SELECT field_id, star_id AS c, star_id AS id, ax AS x, ay AS y FROM k WHERE slot = 1 UNION ALL SELECT field_id, star_id, nb, bx, by_ FROM k),
   g AS (SELECT field_id, c FROM m GROUP BY 1, 2 HAVING count(*) = 9),
   q AS (SELECT DISTINCT a.field_id, a.id AS i, b.id AS j, e.id AS l, f.id AS o, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, e.x AS x3, e.y AS y3, f.x AS x4, f.y AS y4 FROM m a JOIN g ON g.field_id = a.field_id AND g.c = a.c
@@ -447,30 +446,33 @@ def _(spark, d):
     return q.select("field_id", *[F.get("ids", k).alias(n) for k, n in enumerate("ijlo")], r("d1", 4).alias("d1"), r("r0").alias("r0"), r("r4").alias("r4"))
 
 
-_TRI = f"""WITH top AS (SELECT * FROM ({_TOP}) WHERE top <= 40), k AS (SELECT * FROM ({_KNN}) WHERE slot <= 7),
+_TRI = f"""WITH top AS ({_TOP}), k AS (SELECT * FROM ({_KNN}) WHERE slot <= 7),
   t AS (SELECT DISTINCT a.field_id, list_sort([a.star_id, a.nb, b.nb]) AS ids, list_reverse_sort([sqrt((a.ax-a.bx)*(a.ax-a.bx)+(a.ay-a.by_)*(a.ay-a.by_)), sqrt((a.ax-b.bx)*(a.ax-b.bx)+(a.ay-b.by_)*(a.ay-b.by_)), sqrt((a.bx-b.bx)*(a.bx-b.bx)+(a.by_-b.by_)*(a.by_-b.by_))]) AS e
   FROM k a JOIN k b ON a.field_id = b.field_id AND a.star_id = b.star_id AND a.slot < b.slot)"""
 
 
 @query("n10_triangles", _TRI + " SELECT field_id, ids[1] AS i, ids[2] AS j, ids[3] AS l, round(max(e[1]), 4) + 0e0 AS d1, round(max(e[2] / e[1]), 6) + 0e0 AS r0 FROM t GROUP BY ALL", ("std_stars",))
 def _(spark, d):
-    q = patterns.neighbour_triangles(_top(spark, d))
+    q = patterns.triangles(_top(spark, d))
     return q.select("field_id", *[F.get("ids", k).alias(n) for k, n in enumerate("ijl")], r("d1", 4).alias("d1"), r("r0").alias("r0"))
 
 
-@query("n10_triangles_by_count")
+@query("n10_triangles_by_count", """WITH t AS (SELECT a.field_id, a.star_id AS i, b.star_id AS j, c.star_id AS l, list_reverse_sort([sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), sqrt((a.x-c.x)*(a.x-c.x)+(a.y-c.y)*(a.y-c.y)), sqrt((b.x-c.x)*(b.x-c.x)+(b.y-c.y)*(b.y-c.y))]) AS e
+  FROM detections a JOIN detections b ON a.field_id = b.field_id AND a.star_id < b.star_id JOIN detections c ON c.field_id = a.field_id AND b.star_id < c.star_id)
+  SELECT field_id, i, j, l, round(e[1], 4) + 0e0 AS d1, round(e[2] / e[1], 6) + 0e0 AS r0 FROM t WHERE e[1] >= 1e-10""", ("detections",))
 def _(spark, d):
-    q = patterns.triangles(_top(spark, d))
+    """Fields of forty detections: all their triangles."""
+    q = patterns.triangles(_top_detections(spark, d))
     return q.select("field_id", *[F.get("ids", k).alias(n) for k, n in enumerate("ijl")], r("d1", 4).alias("d1"), r("r0").alias("r0"))
 
 
 @query("n15_seed_quads")
 def _(spark, d):
-    q = patterns.seeds(_top(spark, d, 150))
+    q = patterns.seeds(_top(spark, d))
     return q.select("field_id", F.concat_ws("-", F.transform("ids", lambda i: i.cast("string"))).alias("ids"), r("d1", 4).alias("d1"))
 
 
-@query("n16_image_pairs", """WITH top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY snr DESC, star_id) AS k FROM detections) WHERE k <= 40)
+@query("n16_image_pairs", """WITH top AS (SELECT * FROM detections)
   SELECT a.field_id, a.star_id AS a, b.star_id AS b, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 5) + 0e0 AS length FROM top a JOIN top b ON a.field_id = b.field_id AND a.star_id < b.star_id WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) BETWEEN 8 AND 600""", ("detections",))
 def _(spark, d):
     return named(patterns.pairs(_top_detections(spark, d), 600.0), "field_id", "a", "b", length=r("length", 5))
@@ -495,7 +497,7 @@ def _matches(spark, d, tolerance: float = 0.007) -> DataFrame:
     return solve.matched_quads(patterns.quads(img), patterns.quads(_top(spark, d), image=img), tolerance)
 
 
-_IMG = _QUADS.replace("FROM std_stars", "FROM detections").replace("ORDER BY mag, star_id", "ORDER BY snr DESC, star_id").replace("WITH top AS", "WITH itop AS").replace("FROM top a JOIN top b", "FROM itop a JOIN itop b")
+_IMG = _QUADS.replace("FROM std_stars", "FROM detections").replace("WITH top AS", "WITH itop AS").replace("FROM top a JOIN top b", "FROM itop a JOIN itop b")
 for _old, _new in ((", k AS", ", ik AS"), ("FROM k WHERE", "FROM ik WHERE"), ("FROM k)", "FROM ik)"), ("  m AS (", "  im AS ("), ("FROM m ", "FROM im "), ("JOIN m ", "JOIN im "), ("  g AS (", "  ig AS ("), ("JOIN g ON g.field_id = a.field_id AND g.c", "JOIN ig ON ig.field_id = a.field_id AND ig.c"), ("  q AS (", "  iq AS ("), ("FROM q)", "FROM iq)"), ("  s AS (", "  isq AS (")):
     _IMG = _IMG.replace(_old, _new)
 _MATCH = _QUADS + ", " + _IMG[5:] + """, mm AS (SELECT isq.field_id, isq.i AS i1, isq.j AS j1, isq.l AS l1, isq.o AS o1, s.i AS i2, s.j AS j2, s.l AS l2, s.o AS o2, s.e[1] / isq.e[1] AS ratio, (SELECT sum(abs(isq.e[t] / isq.e[1] - s.e[t] / s.e[1])) FROM (SELECT unnest([2,3,4,5,6]) AS t)) AS cost FROM isq JOIN s ON isq.field_id = s.field_id
@@ -606,7 +608,7 @@ def _(spark, d):
     return votes.covered_cells(V.view(spark, d, "detections"), "field_id", V.WIDTH, V.HEIGHT, 3, "x", "y")
 
 
-@query("v17_density_limit", """SELECT field_id, CAST(least(500, floor(2000e0 * degrees(fov) * degrees(fov) * 0.75e0)) AS BIGINT) AS stars FROM fields""", ("fields",))
+@query("v17_density_limit", """SELECT field_id, CAST(least(500, floor(2000e0 * degrees(fov) * degrees(fov) * 0.75e0 + 0.5e0)) AS BIGINT) AS stars FROM fields""", ("fields",))
 def _(spark, d):
     return V.view(spark, d, "fields").select("field_id", votes.density_limit(F.lit(500), F.lit(2000.0), F.degrees("fov"), F.lit(4.0), F.lit(3.0)).alias("stars"))
 
@@ -663,7 +665,7 @@ def solve_sip(pairs: DataFrame) -> DataFrame:
     return distortion.sip(pairs, "field_id", V.WIDTH, V.HEIGHT)
 
 
-@query("x01_verified_pairs")
+@query("x01_verified_pairs", "SELECT field_id, count(*) AS n, count(*) AS right FROM detections GROUP BY 1", ("detections",))
 def _(spark, d):
     std = V.view(spark, d, "std_stars")
     plate = fit.affine(_true_pairs(spark, d), "field_id")
@@ -700,7 +702,8 @@ def _(spark, d):
     return named(spark.createDataFrame(rows, "scale double, place long"), "place", scale=r("scale", 9))
 
 
-@query("l03_select_database")
+@query("l03_select_database", """SELECT field_id, name FROM (SELECT field_id, name, row_number() OVER (PARTITION BY field_id ORDER BY deg BETWEEN lo AND hi DESC, CASE WHEN deg BETWEEN lo AND hi THEN -pref WHEN deg < lo THEN lo - deg ELSE deg - hi END, place) AS k
+  FROM (SELECT field_id, degrees(fov) AS deg FROM fields), (VALUES ('d80', 0.15e0, 6e0, 8, 1), ('v50', 0.2e0, 6e0, 6, 2), ('d50', 0.2e0, 6e0, 5, 3), ('d20', 0.3e0, 6e0, 4, 4), ('v05', 0.6e0, 6e0, 3, 5), ('d05', 0.6e0, 6e0, 2, 6), ('g05', 3e0, 20e0, 7, 7), ('w08', 20e0, 80e0, 7, 8)) t(name, lo, hi, pref, place)) WHERE k = 1""", ("fields",))
 def _(spark, d):
     f = V.view(spark, d, "fields").withColumn("deg", F.degrees("fov"))
     return planning.select_database(spark, f, "deg").select("field_id", "name")
@@ -711,9 +714,9 @@ def _(spark, d):
     return planning.tiers_for(spark, V.view(spark, d, "fields").withColumn("deg", F.degrees("fov")), "deg", [0.05 * 2**k for k in range(9)]).select("field_id", "tier", "fits")
 
 
-@query("l13_human_bytes", "SELECT star_id, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1000000 THEN printf('%.1f kB', n / 1e3) WHEN n < 1000000000 THEN printf('%.1f MB', n / 1e6) ELSE printf('%.1f GB', n / 1e9) END AS size FROM (SELECT star_id, star_id * star_id * star_id AS n FROM sky_stars)", ("sky_stars",))
+@query("l13_human_bytes", "SELECT star_id, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1000000 THEN printf('%.1f kB', n / 1e3) WHEN n < 1000000000 THEN printf('%.1f MB', n / 1e6) WHEN n < 1000000000000 THEN printf('%.1f GB', n / 1e9) ELSE printf('%.1f TB', n / 1e12) END AS size FROM (SELECT star_id, star_id * star_id * star_id * 1000 AS n FROM sky_stars)", ("sky_stars",))
 def _(spark, d):
-    s = V.view(spark, d, "sky_stars").withColumn("n", F.col("star_id") * F.col("star_id") * F.col("star_id"))
+    s = V.view(spark, d, "sky_stars").withColumn("n", F.col("star_id") * F.col("star_id") * F.col("star_id") * 1000)
     return s.select("star_id", text.human_bytes(F.col("n")).alias("size"))
 
 
@@ -730,7 +733,7 @@ def _(spark, d):
 
 @query("n12_image_patterns")
 def _(spark, d):
-    q = blind.image_patterns(_top_detections(spark, d, 60), V.WIDTH, V.HEIGHT)
+    q = blind.image_patterns(_top_detections(spark, d), V.WIDTH, V.HEIGHT)
     return q.select("field_id", F.concat_ws("-", F.array_sort(F.transform("q", lambda p: p["id"])).cast("array<string>")).alias("ids"))
 
 
@@ -741,7 +744,7 @@ def _(spark, d):
 def _(spark, d):
     from skyloom.operators import detect
 
-    stars = detect.analysed(detect.rendered(V.view(spark, d, "field_stars"), 160, 160, 12))
+    stars = detect.analysed(detect.rendered(V.view(spark, d, "field_stars"), 320, 320, 50))
     return stars.groupBy("image_id").agg(F.count("*").alias("stars"), r(F.median("hfd"), 4).alias("hfd_median"))
 
 

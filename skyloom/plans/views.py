@@ -7,7 +7,6 @@ give every star the same neighbourhood.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Centre of the patch of sky, and the frame that sees it.
 RA0, DEC0, SIDE = 1.5, 0.3, 0.04
@@ -15,22 +14,23 @@ WIDTH, HEIGHT, SCALE, TURN = 3000, 3000, 3.0, 0.35
 
 
 def u(key: str, a: int, b: int, c: int) -> str:
-    """A value in [0, 1) for a whole-number key below 90,000."""
-    return f"((({key})*({key})*{a} + ({key})*{b} + {c}) % 2147483647) / 2147483647e0"
+    """A value in [0, 1) for a whole-number key; keys repeat their values after 89,989, a prime, so that no product overflows."""
+    k = f"(({key}) % 89989)"
+    return f"(({k}*{k}*{a} + {k}*{b} + {c}) % 2147483647) / 2147483647e0"
 
 
 U1, U2, U3, U4 = (u("p_partkey", *k) for k in ((1103515245, 12345, 678901), (950706376, 16807, 424242), (742938285, 39373, 99991), (1226874159, 48271, 31337)))
 
-#: field_id tells apart several images of the same patch, so that fields are solved side by side.
-FIELD_STARS = f"""SELECT CAST(p_partkey % 4 AS BIGINT) AS field_id, CAST(p_partkey AS BIGINT) AS star_id,
+#: field_id tells apart images of the same patch, fifty stars each, so that their number grows with the table.
+FIELD_STARS = f"""SELECT CAST(floor((p_partkey - 1) / 50e0) AS BIGINT) AS field_id, CAST(p_partkey AS BIGINT) AS star_id,
   {RA0}e0 + {SIDE}e0 * ({U1} - 0.5e0) AS ra, {DEC0}e0 + {SIDE}e0 * ({U2} - 0.5e0) AS dec, floor(p_retailprice * 10 + 0.5e0) / 1000e0 AS mag FROM part"""
 SKY_STARS = f"""SELECT CAST(p_partkey AS BIGINT) AS star_id, 2e0 * pi() * {U1} AS ra, asin(2e0 * {U2} - 1e0) AS dec,
   floor(p_retailprice * 10 + 0.5e0) / 1000e0 AS mag FROM part"""
-#: Two images a hundred pixels wide: the SQL has the first 10,000 events, ``view`` has them all.
-PIXELS = """SELECT CAST(floor(event_id / 5000e0) AS BIGINT) % 2 AS image_id, CAST(event_id % 100 AS INT) AS x, CAST(floor((event_id % 5000) / 100e0) AS INT) AS y,
-  CAST(floor(value * 10) AS DOUBLE) AS v FROM events WHERE event_id < 10000 AND event_id >= 0"""
-HYPOTHESES = f"""SELECT CAST(o_orderkey AS BIGINT) AS hyp_id, 2e0 * pi() * {u('o_orderkey % 400', 1103515245, 12345, 678901)} AS ra,
-  asin(2e0 * {u('o_orderkey % 400', 950706376, 16807, 424242)} - 1e0) AS dec, exp(2e0 * {u('o_orderkey % 400', 742938285, 39373, 99991)} - 1e0) AS scale FROM orders"""
+#: Images a hundred pixels wide, one for each 5,000 events.
+PIXELS = """SELECT CAST(floor(event_id / 5000e0) AS BIGINT) AS image_id, CAST(event_id % 100 AS INT) AS x, CAST(floor((event_id % 5000) / 100e0) AS INT) AS y,
+  CAST(floor(value * 10) AS DOUBLE) AS v FROM events"""
+HYPOTHESES = f"""SELECT CAST(o_orderkey AS BIGINT) AS hyp_id, 2e0 * pi() * {u('CAST(floor(o_orderkey / 37e0) AS BIGINT)', 1103515245, 12345, 678901)} AS ra,
+  asin(2e0 * {u('CAST(floor(o_orderkey / 37e0) AS BIGINT)', 950706376, 16807, 424242)} - 1e0) AS dec, exp(2e0 * {u('CAST(floor(o_orderkey / 37e0) AS BIGINT)', 742938285, 39373, 99991)} - 1e0) AS scale FROM orders"""
 FIELDS = f"""SELECT CAST(s_suppkey AS BIGINT) AS field_id, 2e0 * pi() * {u('s_suppkey', 1103515245, 12345, 678901)} AS ra,
   asin(2e0 * {u('s_suppkey', 950706376, 16807, 424242)} - 1e0) AS dec, 0.01e0 + 0.2e0 * {u('s_suppkey', 742938285, 39373, 99991)} AS fov FROM supplier"""
 HEADERS = """SELECT CAST(c_custkey AS BIGINT) AS file_id,
@@ -60,12 +60,8 @@ def sql_with(names: list[str], body: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same view as a DataFrame; pixels are those of all events, an image for each 5,000 ids."""
-    if name == "pixels":
-        n = F.col("event_id")
-        return spark.read.parquet(f"{sf_dir}/events.parquet").select(
-            F.floor(n / 5000).alias("image_id"), F.pmod(n, F.lit(100)).cast("int").alias("x"), F.floor(F.pmod(n, F.lit(5000)) / 100).cast("int").alias("y"), F.floor(F.col("value") * 10).cast("double").alias("v"))
-    base = {"field_stars": "part", "sky_stars": "part", "hypotheses": "orders", "fields": "supplier", "headers": "customer"}
+    """The same view as a DataFrame."""
+    base = {"pixels": "events", "field_stars": "part", "sky_stars": "part", "hypotheses": "orders", "fields": "supplier", "headers": "customer"}
     if name in base:
         return spark.sql(VIEWS[name].replace(f"FROM {base[name]}", "FROM {src}"), src=spark.read.parquet(f"{sf_dir}/{base[name]}.parquet"))
     of = _NEEDS[name][-1]

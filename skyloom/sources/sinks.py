@@ -17,17 +17,19 @@ def wcs_files(solutions: DataFrame) -> DataFrame:
     return solutions.select("field_id", F.posexplode(text.wcs_cards()).alias("place", "card"))
 
 
-def summaries(solutions: DataFrame, all_fields: DataFrame) -> DataFrame:
-    """The key=value summary of each field; unsolved ones say so."""
+def summaries(solutions: DataFrame, all_fields: DataFrame, cmdline: str = "") -> DataFrame:
+    """The key=value summary of each field; unsolved ones say so, with the command line."""
     met = all_fields.select("field_id").join(solutions, "field_id", "left")
-    return met.select("field_id", F.when(F.col("ra0").isNotNull(), text.ini_text()).otherwise("PLTSOLVD=F").alias("ini"))
+    unsolved = F.lit("PLTSOLVD=F" + (f"\nCMDLINE={cmdline}" if cmdline else ""))
+    return met.select("field_id", F.when(F.col("ra0").isNotNull(), text.ini_text(cmdline=F.lit(cmdline))).otherwise(unsolved).alias("ini"))
 
 
 def star_csv(stars: DataFrame) -> DataFrame:
     """The lines of a star list with a header row first: (image_id, place, line)."""
-    line = F.concat_ws(",", F.format_string("%.4f", F.col("x") + 1), F.format_string("%.4f", F.col("y") + 1), F.format_string("%.4f", "hfd"), F.rint("snr").cast("long").cast("string"), F.rint("flux").cast("long").cast("string"))
+    sky = [F.col("ra"), F.col("dec")] if {"ra", "dec"} <= set(stars.columns) else []
+    line = text.star_line(F.col("x"), F.col("y"), F.col("hfd"), F.col("snr"), F.col("flux"), *sky)
     rows = stars.select("image_id", F.col("star_id").alias("place"), line.alias("line"))
-    heads = stars.select("image_id").distinct().select("image_id", F.lit(0).cast("long").alias("place"), F.lit("x,y,hfd,snr,flux,ra,dec").alias("line"))
+    heads = stars.select("image_id").distinct().select("image_id", F.lit(0).cast("long").alias("place"), F.lit(text.STAR_HEADER).alias("line"))
     return heads.unionByName(rows)
 
 

@@ -225,6 +225,7 @@ def test_regions_are_apart_and_ladder_is_ordered(spark):
 
 def test_group_sizes_and_options():
     assert [patterns.group_size(n, n) for n in (4, 5, 8, 20, 50)] == [None, 9, 7, 6, 9] or patterns.group_size(50, 50) == 9
+    assert [patterns.group_size(n, n) for n in (5, 6, 7, 14, 15, 29, 30)] == [9, 6, 7, 7, 6, 6, 9]
     planning.SolveOptions(fov_deg=1.0).check()
     for bad in ({"fov_deg": 0.0}, {"fov_deg": 1.0, "tolerance": 0.5}, {"fov_deg": 1.0, "radius_deg": -1.0}):
         with pytest.raises(planning.SkyError):
@@ -232,6 +233,61 @@ def test_group_sizes_and_options():
     assert planning.concerns(2e9, 10, 1e12, 1e12) == ["it takes over 1 GB of disk"]
 
 
+def test_costs_concerns_and_choices(spark):
+    tiers = spark.createDataFrame([(0, 0.1), (1, 0.2), (2, 0.4)], "tier long, radius double")
+    c = planning.cost(planning.tier_costs(spark, tiers, "d80"), 24).first()
+    stars = 4_285_114 + 0.116 * (1_427_214 + 421_308)
+    assert c["patterns"] == 4_428_404 + 3_639_264 + 1_185_086 and abs(c["bytes"] - (3140 + 120 + 24 * c["patterns"] + 12 * stars)) < 2
+    assert abs(c["seconds"] - (13_777_880 + 4_121_724 + 2_006_011) * (1.06e-6 + 2.5e-6 / 24)) < 1e-6
+    shallow = {r["radius"]: (r["patterns"], r["read"]) for r in planning.tier_costs(spark, tiers, "W08").collect()}
+    assert shallow[0.1] == (55_000.0, 45_000.0)
+    assert planning.concerns(0, 301, 10.0, None, 6.0) == ["it takes over five minutes", "it needs over half of the free memory"]
+    assert planning.concerns(0, 0, 10.0, None, 11.0) == ["it needs more memory than is free"] and planning.concerns(0, 0) == []
+    fields = spark.createDataFrame([(k, f) for k, f in enumerate((4.0, 0.1, 200.0, 10.0, 6.0))], "field_id long, deg double")
+    assert [r["name"] for r in planning.select_database(spark, fields, "deg").orderBy("field_id").collect()] == ["d80", "d80", "w08", "g05", "d80"]
+
+
+def test_text_of_results(spark):
+    row = spark.range(1).select(text.csv_path(F.lit("/a.b/img")).alias("p"), text.csv_path(F.lit("x.tar.fits")).alias("q"), text.human_bytes(F.lit(3 * 10**12)).alias("b"), *[text.duration(F.lit(float(s))).alias(f"d{s}") for s in (9, 52, 58, 780, 5400)],
+                                text.report(F.lit(2.345), F.lit(0)).alias("r"), text.least_snr(F.lit(0)).alias("s")).first()
+    assert tuple(row) == ("/a.b/img.csv", "x.tar.csv", "3.0 TB", "under 10 s", "~50 s", "~1 min", "~13 min", "~1 h 30 min", "HFD_MEDIAN=21.47\nSTARS=0", 30.0)
+    sip = spark.range(1).select(text.sip_keywords(*[F.array(*[F.lit(float(10 * n + k)) for k in range(10)]) for n in range(4)]).alias("s")).first()["s"]
+    assert len(sip) == 44 and [k["key"] for k in sip[:4]] == ["A_ORDER", "A_0_0", "A_1_0", "A_0_1"] and [(k["key"], k["value"]) for k in sip[12:15]] == [("B_0_0", 10.0), ("B_0_1", 12.0), ("B_1_0", 11.0)]
+
+
+def test_stars_near_wide_fields(spark):
+    rng = np.random.default_rng(21)
+    stars = [(k, float(rng.uniform(0, 2 * math.pi)), float(math.asin(rng.uniform(-1, 1)))) for k in range(300)]
+    fields = [(0, 1.0, 0.2, 0.6), (1, 0.01, 1.5, 0.4), (2, 3.0, -1.2, 2.0), (3, 5.0, 0.0, 4.0)]
+    got = {(r["field_id"], r["star_id"]) for r in catalogue_scan.stars_near(spark.createDataFrame(fields, "field_id long, ra double, dec double, r double"), spark.createDataFrame(stars, "star_id long, ra double, dec double"), "r").collect()}
+    apart = lambda f, s: math.acos(max(-1, min(1, math.sin(f[2]) * math.sin(s[2]) + math.cos(f[2]) * math.cos(s[2]) * math.cos(f[1] - s[1]))))
+    assert got == {(f[0], s[0]) for f in fields for s in stars if apart(f, s) <= f[3]}
+
+
+def test_regions_equal_plain_suppression(spark):
+    rng = np.random.default_rng(22)
+    rows = [(float(rng.uniform(0, 2 * math.pi)), float(math.asin(rng.uniform(-1, 1))), float(np.exp(rng.uniform(-0.5, 0.5)))) for _ in range(400)]
+    v = votes.sky_votes(spark.createDataFrame(rows, "ra double, dec double, scale double"), 0.2, 0.2)
+    n = {tuple(r)[:3]: r["votes"] for r in v.collect()}
+    round_ = lambda reach: {(k[0], k[1], k[2]): set() for k in n}
+    keys = spark.createDataFrame([(*k, 1) for k in n], "band long, ra_bin long, s_bin long, votes long")
+    near = {}
+    for reach in (1, 2):
+        near[reach] = round_(reach)
+        for r in votes.neighbours(keys, 0.2, reach, 1).collect():
+            near[reach][(r["band"], r["ra_bin"], r["s_bin"])].add((r["n_band"], r["n_ra"], r["n_s"]))
+    ranked = []
+    for k in n:
+        there = [x for x in near[1][k] if x in n]
+        ranked.append((-sum(n[x] for x in there), k, min(there, key=lambda x: (-n[x], x))))
+    taken, want = set(), []
+    for total, k, rep in sorted(ranked):
+        if len(want) < 12 and k not in taken and rep not in taken:
+            taken |= near[2][k] | near[1][rep]
+            want.append((len(want), *k, *rep, -total))
+    assert [tuple(r) for r in votes.regions(v, 0.2, 12).orderBy("place").collect()] == want
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.fits").write_bytes(_fits(_image([(40.3, 50.7, 9000.0), (100.0, 80.0, 7000.0)])))
     assert cli.run(["-f", str(tmp_path / "a.fits"), "-analyse"], spark) == 0

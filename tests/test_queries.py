@@ -61,12 +61,10 @@ def test_pixels_are_those_of_all_events(spark, many_events, name):
     df = catalogue.queries()[name](spark, many_events)
     columns = sorted(df.columns)
     got = sorted(map(tuple, df.select(*columns).collect()), key=repr)
-    cut = " WHERE event_id < 10000 AND event_id >= 0"
     sql = catalogue.oracle_sql()[name]
-    assert cut in sql and "AS BIGINT) % 2 AS image_id" in sql
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{many_events}/events.parquet'")
-    rel = con.execute(sql.replace(cut, "").replace("AS BIGINT) % 2 AS image_id", "AS BIGINT) AS image_id"))
+    rel = con.execute(sql)
     names = [x[0] for x in rel.description]
     order = [names.index(c) for c in columns]
     assert got == sorted((tuple(r[i] for i in order) for r in rel.fetchall()), key=repr)
