@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.operators import catalogue_scan, detect, planning, solve
+from skyloom.operators.store import kept
 from skyloom.sources import images, sinks
 
 
@@ -47,16 +48,23 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         planning.SolveOptions(radius_deg=a.radius, fov_deg=a.fov, max_stars=a.stars, tolerance=a.tolerance, hfd_min=a.hfd_min).check()
         if not a.catalogue:
             raise planning.NoCatalogue("a star catalogue is needed")
-        size = rows.select("width", "height").first()
-        if size is None:
+        sizes = rows.select("width", "height").distinct().collect()  # one row a camera
+        if not sizes:
             raise planning.BadImage("no image could be read")
         stars = detect.detected(rows, a.hfd_min, a.stars).withColumnRenamed("image_id", "field_id")
         ra0, dec0 = math.radians((a.ra or 0.0) * 15), math.radians((a.spd if a.spd is not None else 90.0) - 90)
-        field = catalogue_scan.in_tiles(spark, a.catalogue, ra0, dec0, math.radians(a.fov) * 1.05).orderBy("mag", "star_id").limit(a.stars)
-        cat = field.join(F.broadcast(stars.select("field_id").distinct()), F.lit(True))
-        found = solve.solve_fields(stars, cat, ra0, dec0, size["width"], size["height"], a.stars, a.tolerance).where("accepted")
+        stars = kept(stars, "stars")
+        # only what a position within the radius may see is read
+        side = 2 * math.radians(min(180.0, a.radius + 2 * a.fov))
+        sky = catalogue_scan.in_tiles(spark, a.catalogue, ra0, dec0, side).select("star_id", "ra", "dec", "mag")
+        found = None
+        for size in sizes:
+            of = rows.where((F.col("width") == size["width"]) & (F.col("height") == size["height"])).select(F.col("image_id").alias("field_id"))
+            hints = of.select("field_id", F.lit(ra0).alias("ra"), F.lit(dec0).alias("dec"))
+            own = solve.search_fields(stars.join(of, "field_id", "left_semi"), sky, hints, a.fov, a.radius, size["width"], size["height"], a.stars, a.tolerance)
+            found = own if found is None else found.unionByName(own)
         if a.out:
-            sinks.wcs_files(found).write.mode("overwrite").parquet(f"{a.out}/wcs")
+            sinks.wcs_files(found.drop("idx")).write.mode("overwrite").parquet(f"{a.out}/wcs")
         if not found.count():
             raise planning.NoSolution("no field was solved")
         return 0

@@ -22,7 +22,7 @@ def u(key: str, a: int, b: int, c: int) -> str:
 U1, U2, U3, U4 = (u("p_partkey", *k) for k in ((1103515245, 12345, 678901), (950706376, 16807, 424242), (742938285, 39373, 99991), (1226874159, 48271, 31337)))
 
 #: field_id tells apart images of the same patch, fifty stars each, so that their number grows with the table.
-FIELD_STARS = f"""SELECT CAST(floor((p_partkey - 1) / 50e0) AS BIGINT) AS field_id, CAST(p_partkey AS BIGINT) AS star_id,
+FIELD_STARS = f"""SELECT CAST(floor(p_partkey / 50e0) AS BIGINT) AS field_id, CAST(p_partkey AS BIGINT) AS star_id,
   {RA0}e0 + {SIDE}e0 * ({U1} - 0.5e0) AS ra, {DEC0}e0 + {SIDE}e0 * ({U2} - 0.5e0) AS dec, floor(p_retailprice * 10 + 0.5e0) / 1000e0 AS mag FROM part"""
 SKY_STARS = f"""SELECT CAST(p_partkey AS BIGINT) AS star_id, 2e0 * pi() * {U1} AS ra, asin(2e0 * {U2} - 1e0) AS dec,
   floor(p_retailprice * 10 + 0.5e0) / 1000e0 AS mag FROM part"""

@@ -233,6 +233,70 @@ def test_group_sizes_and_options():
     assert planning.concerns(2e9, 10, 1e12, 1e12) == ["it takes over 1 GB of disk"]
 
 
+def _sky_and_images(rng, centre, fov, width, images):
+    """A patch of sky, and images of it at other centres: (stars, detections)."""
+    ra0, dec0 = centre
+    stars = [(k, float(ra0 + rng.uniform(-0.1, 0.1) / math.cos(dec0)), float(dec0 + rng.uniform(-0.1, 0.1)), float(rng.uniform(6, 12))) for k in range(3000)]
+    out = []
+    for field, (ra, dec) in images.items():
+        for k, r, d, m in stars:
+            h = math.sin(d) * math.sin(dec) + math.cos(d) * math.cos(dec) * math.cos(r - ra)
+            x = (width - 1) / 2 - math.cos(d) * math.sin(r - ra) / h / math.radians(fov) * width
+            y = (width - 1) / 2 + (math.sin(d) * math.cos(dec) - math.cos(d) * math.sin(dec) * math.cos(r - ra)) / h / math.radians(fov) * width
+            if 0 < x < width and 0 < y < width:
+                out.append((field, k, float(x + rng.normal(0, 0.1)), float(y + rng.normal(0, 0.1)), 100 - m))
+    return stars, out
+
+
+def test_search_finds_images_beside_their_hint_and_refuses_noise(spark):
+    rng = np.random.default_rng(31)
+    ra0, dec0, fov, width = 2.0, 0.4, 1.0, 1000
+    truth = {1: (ra0 + 0.01, dec0 - 0.008), 2: (ra0 - 0.02, dec0 + 0.012)}  # the second is more than a field off
+    stars, rows = _sky_and_images(rng, (ra0, dec0), fov, width, truth)
+    rows += [(3, k, float(rng.uniform(0, width)), float(rng.uniform(0, width)), float(rng.uniform(1, 9))) for k in range(40)]
+    det = spark.createDataFrame(rows, "field_id long, star_id long, x double, y double, snr double")
+    hints = spark.createDataFrame([(k, ra0, dec0) for k in (1, 2, 3)], "field_id long, ra double, dec double")
+    sky = spark.createDataFrame(stars, "star_id long, ra double, dec double, mag double")
+    got = {r["field_id"]: r for r in solve.search_fields(det, sky, hints, fov, 1.2, width, width).collect()}
+    assert set(got) == {1, 2} and got[1]["idx"] == 0 and got[2]["idx"] > 0
+    for k, (ra, dec) in truth.items():
+        assert abs(got[k]["ra0"] - ra) < 1e-5 and abs(got[k]["dec0"] - dec) < 1e-5 and got[k]["accepted"]
+
+
+def test_acceptance(spark):
+    rows = [(40, 200, 0.3, 0.4, 5.0, 0.0, True, True), (29, 200, 0.3, 0.4, 5.0, 0.0, True, False), (29, 100, 0.3, 0.4, 5.0, 0.05, True, True), (29, 100, 0.3, 0.4, 5.0, 0.2, True, False),
+            (29, 100, 0.3, 0.4, 5.0, 0.05, False, False), (29, 100, 0.3, 0.6, 5.0, 0.05, True, False), (40, 100, 0.1, 0.4, 5.0, 0.0, True, False), (40, 100, 0.3, 2.1, 5.0, 0.0, True, False), (40, 100, 0.3, 0.4, 10.5, 0.0, True, False)]
+    df = spark.createDataFrame(rows, "n long, seen long, spread double, rms double, chance double, off double, trusted boolean, want boolean")
+    ok = votes.accepted(F.col("n"), sphere.least_stars("seen"), F.col("spread"), F.col("rms"), F.col("chance"), F.col("off"), F.col("trusted"))
+    assert [r["ok"] for r in df.select(ok.alias("ok")).collect()] == [r[-1] for r in rows]
+    chance = spark.range(1).select(solve.chance_pairs(F.lit(450), F.lit(500), 384, 384).alias("c")).first()["c"]
+    assert abs(chance - 450 * (1 - math.exp(-500 / 384**2 * math.pi * 4))) < 1e-9
+
+
+def test_positions_over_the_pole(spark):
+    step, radius = 0.3, 0.8
+    hints = [(1, 1.0, 1.4), (2, 6.2, -0.2), (3, 0.1, -1.5)]
+    got = {(r["field_id"], r["idx"]): (r["ra"], r["dec"]) for r in solve.positions(spark.createDataFrame(hints, "field_id long, ra double, dec double"), step, radius).collect()}
+    want = {}
+    index = {r["i"]: (r["x"], r["y"]) for r in spark.range(200).select(F.col("id").alias("i"), *[c.alias(n) for c, n in zip(sphere.spiral("id"), "xy")]).collect()}
+    for f, ra, dec in hints:
+        for i in range((2 * int(radius / step + 2) + 1) ** 2):
+            sx, sy = index[i]
+            d, flip = dec + step * sy, 0.0
+            if d > math.pi / 2:
+                d, flip = math.pi - d, math.pi
+            elif d < -math.pi / 2:
+                d, flip = -math.pi - d, math.pi
+            turn = step * sx / math.cos(d - (step / 2 if d > 0 else -step / 2))
+            if turn > math.pi / 2 + step / 2 or turn < -math.pi / 2:
+                continue
+            r = (flip + ra + turn) % (2 * math.pi)
+            sep = math.acos(max(-1, min(1, math.sin(d) * math.sin(dec) + math.cos(d) * math.cos(dec) * math.cos(r - ra))))
+            if sep <= radius + step / 2:
+                want[(f, i)] = (r, d)
+    assert set(got) == set(want) and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
+
+
 def test_costs_concerns_and_choices(spark):
     tiers = spark.createDataFrame([(0, 0.1), (1, 0.2), (2, 0.4)], "tier long, radius double")
     c = planning.cost(planning.tier_costs(spark, tiers, "d80"), 24).first()
