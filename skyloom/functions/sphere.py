@@ -187,3 +187,69 @@ def f_statistic(rss_lo, rss_hi, terms_lo: int, terms_hi: int, n) -> Column:
     lo, hi = col(rss_lo), col(rss_hi)
     dof1, dof2 = 2 * (terms_hi - terms_lo), F.greatest(2 * (col(n) - terms_hi), F.lit(1))
     return F.when(hi > 0, ((lo - hi) / dof1) / (hi / dof2)).when(lo > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
+
+
+def round_root(n) -> Column:
+    """The whole number nearest to the square root of a whole number, exactly."""
+    n = col(n).cast("long")
+    r = F.floor(F.sqrt(n.cast("double"))).cast("long")
+    return r + F.when(n > r * r + r, 1).otherwise(0).cast("long")
+
+
+def fast_atan2(y, x) -> Column:
+    """The angle of (x, y) to 0.0026 radians, from a rational approximation of the arc tangent."""
+    x, y = col(x), col(y)
+    z = y / F.when(x != 0, x)
+    low = lambda t: t / (1 + 0.28125 * t * t)
+    flat = F.when(F.abs(z) <= 1, low(z)).otherwise(F.signum(z) * (math.pi / 2) - low(1 / z))
+    return F.when(x == 0, F.signum(y) * (math.pi / 2)).when(x < 0, flat + F.when(y >= 0, math.pi).otherwise(-math.pi)).otherwise(flat)
+
+
+def polynomial(coefficients: list[float], x, y) -> Column:
+    """The value of a polynomial with coefficients in the order of ``TERMS``."""
+    x, y = col(x), col(y)
+    power = lambda v, n: F.lit(1.0) if n == 0 else v * power(v, n - 1)
+    out = F.lit(0.0)
+    for c, (p, q) in zip(coefficients, TERMS):
+        if c:
+            out = out + float(c) * power(x, p) * power(y, q)
+    return out
+
+
+def polynomial_inverse(cu: list[float], cv: list[float], u, v, rounds: int = 12, settled: float = 1e-4) -> Column:
+    """The point (x, y) that a pair of polynomials takes to (u, v), by steps of the inverse linear part.
+
+    Null if that part is singular or ``rounds`` steps don't settle. The rounds are one aggregate over a sequence.
+    """
+    u, v = col(u), col(v)
+    (c, a, b), (f, d, e) = cu[:3], cv[:3]
+    det = a * e - b * d
+    if abs(det) < 1e-12 or not math.isfinite(det):
+        return F.lit(None).cast("struct<x:double,y:double>")
+    step = lambda du, dv: ((e * du - b * dv) / det, (a * dv - d * du) / det)
+    x, y = step(u - c, v - f)
+    start = F.struct(x.alias("x"), y.alias("y"), F.lit(len(cu) <= 3).alias("done"))
+
+    def turn(s: Column, _: Column) -> Column:
+        dx, dy = step(u - polynomial(cu, s["x"], s["y"]), v - polynomial(cv, s["x"], s["y"]))
+        moved = F.struct((s["x"] + dx).alias("x"), (s["y"] + dy).alias("y"), (F.abs(dx) + F.abs(dy) < settled).alias("done"))
+        return F.when(s["done"], s).otherwise(moved)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn, lambda s: F.when(s["done"], F.struct(s["x"].alias("x"), s["y"].alias("y"))))
+
+
+def star_of_integers(x, y, z) -> tuple[Column, Column]:
+    """A direction from three unsigned 32-bit numbers that span -1 to 1."""
+    x, y, z = (col(c) / ((2**32 - 1) / 2) - 1 for c in (x, y, z))
+    return pmod(F.atan2(y, x), 2 * math.pi), F.atan2(z, F.sqrt(x * x + y * y))
+
+
+def code_of_integer(u, low: float, scale: float) -> Column:
+    """A code's value from its unsigned 16-bit number."""
+    return low + col(u) / scale
+
+
+def move_plane(ra0, dec0, ra1, dec1, x, y) -> tuple[Column, Column]:
+    """X11: standard coordinates about one centre to those about another."""
+    ra, dec = inverse_gnomonic(ra0, dec0, x, y)
+    return gnomonic(ra1, dec1, ra, dec)

@@ -40,6 +40,14 @@ def pointing(cards_: Column) -> tuple[Column, Column]:
     return F.when(own, ra).when(other, c1), F.when(own, dec).when(other, c2)
 
 
+def pointing_hint(ra_hours: Column, spd_degrees: Column, ra: Column, dec: Column) -> tuple[Column, Column]:
+    """Where to look (radians): the caller's hours and south polar distance if either is given, else the file's degrees."""
+    given = ra_hours.isNotNull() | spd_degrees.isNotNull()
+    own = F.radians(F.least(F.lit(90), F.greatest(F.lit(-90), spd_degrees - 90)))
+    return (F.when(given, F.coalesce(ra_hours * math.pi / 12, F.lit(0.0))).when(ra.isNotNull() & dec.isNotNull(), F.radians(ra)),
+            F.when(given, F.coalesce(own, F.lit(0.0))).when(ra.isNotNull() & dec.isNotNull(), F.radians(dec)))
+
+
 def pixel_scale(focal: Column, size: Column, binning: Column) -> Column:
     """Arc seconds a pixel, from focal length (mm) and pixel size (um); null outside 0.001 to 10,000."""
     scale = size * F.when(binning > 0, binning).otherwise(1.0) / focal * 206.265
@@ -176,10 +184,11 @@ def exit_code(hfd: Column, n: Column) -> Column:
     return (F.pmod(v + 2**31, F.lit(2**32)) - 2**31).cast("int")
 
 
-def scale_warning(assumed: Column, solved: Column) -> Column:
-    """A sentence if the assumed scale is more than 5 % off the solved one; null else."""
-    off = F.abs(assumed / solved - 1) > 0.05
-    return F.when(off, F.format_string("the scale given, %.3f, differs from the solved %.3f arc seconds a pixel", assumed, solved))
+def scale_warning(assumed: Column, solved: Column, height: Column) -> Column:
+    """A warning if the scale that a solve started from is more than 5 % off the solved one; null else (fixed text)."""
+    ratio = assumed / F.nullif(solved, F.lit(0.0))
+    off = F.abs(ratio - 1) > 0.05
+    return F.when(off, F.format_string("Warning scale was inaccurate! Set FOV=%.2fd, scale=%.1f\"", solved * height / 3600.0, solved))
 
 
 def csv_path(image: Column) -> Column:

@@ -54,3 +54,20 @@ def _fours(m: Column) -> Column:
     three = lambda a, b: F.flatten(F.transform(range_(b + 1), lambda c: four(a, b, c)))
     two = lambda a: F.flatten(F.transform(range_(a + 1), lambda b: three(a, b)))
     return F.flatten(F.transform(range_(F.lit(0)), two))
+
+
+def triangle_code(ax, ay, bx, by, cx, cy, flip: bool) -> Column:
+    """(x, y) of C in the frame of A and B, A and B swapped if x is over a half; null for A and B less than a pixel apart."""
+    x, y = code(ax, ay, bx, by, cx, cy, flip)
+    apart = (sphere.col(bx) - sphere.col(ax)) ** 2 + (sphere.col(by) - sphere.col(ay)) ** 2
+    other = x > 0.5
+    return F.when(apart >= 1, F.struct(F.when(other, 1 - x).otherwise(x).alias("cx"), F.when(other, 1 - y).otherwise(y).alias("cy"), other.alias("swapped")))
+
+
+def quad_code(ax, ay, bx, by, cx, cy, dx, dy, flip: bool) -> Column:
+    """The codes of C and D in the frame of A and B: their x sum to one at most, and C's is the smaller (y of a tie)."""
+    apart = (sphere.col(bx) - sphere.col(ax)) ** 2 + (sphere.col(by) - sphere.col(ay)) ** 2
+    c, d = code(ax, ay, bx, by, cx, cy, flip), code(ax, ay, bx, by, dx, dy, flip)
+    turn = c[0] + d[0] > 1
+    pair = [F.struct(*[F.when(turn, 1 - v).otherwise(v).alias(n) for v, n in zip(p, "xy")]) for p in (c, d)]
+    return F.when(apart >= 1, F.sort_array(F.array(*pair)))

@@ -167,3 +167,19 @@ def anchor_patterns(found: DataFrame, members: int) -> DataFrame:
     ids = F.transform("order", lambda i: F.get("q", i)["id"])
     d = d.select(F.col("star_id").alias("anchor"), ids.alias("ids"), F.transform(F.slice("e", 1, 5), lambda v: v / F.get("e", 5)).alias("descriptor"))
     return d.withColumn("key", P.key(F.col("descriptor")))
+
+
+def three_neighbour_quads(points: DataFrame, group: str = "field_id") -> DataFrame:
+    """Each star with its three nearest neighbours, each set of four once.
+
+    In lists of 150 stars or more a neighbour stands at most twice the root of their number away in
+    the order of x. Output as of ``quads``.
+    """
+    sized = points.withColumn("_n", F.count("*").over(Window.partitionBy(group))).withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy("x", "star_id")))
+    reach = F.when(F.col("_n") >= 150, F.floor(2 * F.sqrt(F.col("_n").cast("double")) + 0.5)).otherwise(F.col("_n"))
+    other = sized.select(group, F.col("star_id").alias("nb"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("_at").alias("_nat"))
+    met = sized.withColumn("_reach", reach).join(other, group).where((F.col("star_id") != F.col("nb")) & (F.abs(F.col("_at") - F.col("_nat")) <= F.col("_reach")))
+    met = met.withColumn("d2", (F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2).where("d2 > 1")
+    near = met.withColumn("slot", F.row_number().over(Window.partitionBy(group, "star_id").orderBy("d2", "nb"))).where("slot <= 3")
+    whole = _points(group, near, points).where(F.size("members") == 4)
+    return _record(whole.select(group, F.sort_array("members").alias("q")).dropDuplicates([group, "q"]), group, 4)

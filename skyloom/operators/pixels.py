@@ -6,7 +6,7 @@ run on them, never on pixels.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP_BIN = 65001
@@ -129,3 +129,9 @@ def background(pixels: DataFrame, max_stars: int = 500) -> DataFrame:
     hist = histogram(pixels)
     mode = background_mode(hist, pixels.groupBy("image_id").agg(F.count("*").alias("n_pixels")))
     return star_levels(hist, mode, noise(pixels, mode), max_stars)
+
+
+def binned_size(width: Column, height: Column, bin_: Column) -> tuple[Column, Column]:
+    """The size of an image after binning."""
+    b = F.greatest(bin_, F.lit(1))
+    return F.floor(width / b).cast("long"), F.floor(height / b).cast("long")

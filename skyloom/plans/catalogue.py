@@ -684,7 +684,8 @@ def _(spark, d):
 # Search and planning
 
 
-@query("c01_solve_fields")
+@query("c01_solve_fields", f"""SELECT field_id, round(1.5e0 - x / cos(0.3e0) * pi() / 648000e0, 5) + 0e0 AS ra0, round(0.3e0 + y * pi() / 648000e0, 5) + 0e0 AS dec0, 3e0 AS scale, round(degrees({V.TURN}e0) - 180, 2) AS crota2, n AS stars_matched, n >= 30 AS accepted
+  FROM (SELECT field_id, count(*) AS n, -1.5e0 * cos({V.TURN}e0) + 1.5e0 * sin({V.TURN}e0) AS x, 1.5e0 * sin({V.TURN}e0) + 1.5e0 * cos({V.TURN}e0) AS y FROM detections GROUP BY 1)""", ("detections",))
 def _(spark, d):
     s = solve.solve_fields(V.view(spark, d, "detections"), V.view(spark, d, "field_stars"), V.RA0, V.DEC0, V.WIDTH, V.HEIGHT)
     return s.select("field_id", r("ra0", 5).alias("ra0"), r("dec0", 5).alias("dec0"), r(F.col("cdelt2") * 3600, 2).alias("scale"), r("crota2", 2).alias("crota2"), "stars_matched", "accepted")
@@ -754,8 +755,12 @@ def solve_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from skyloom.plans import more  # noqa: F401  adds its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from skyloom.plans import more  # noqa: F401
+
     return dict(_ORACLE)
