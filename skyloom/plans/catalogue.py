@@ -466,7 +466,15 @@ def _(spark, d):
     return q.select("field_id", *[F.get("ids", k).alias(n) for k, n in enumerate("ijl")], r("d1", 4).alias("d1"), r("r0").alias("r0"))
 
 
-@query("n15_seed_quads")
+_D = "sqrt((m[{i}].x-m[{j}].x)*(m[{i}].x-m[{j}].x)+(m[{i}].y-m[{j}].y)*(m[{i}].y-m[{j}].y))"
+_SEEDS = f"""WITH top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY mag, star_id) AS bright FROM std_stars) WHERE bright <= 150), k AS (SELECT * FROM ({_KNN}) WHERE slot <= 4),
+  g AS (SELECT field_id, star_id, ax, ay, list(struct_pack(id := nb, x := bx, y := by_) ORDER BY slot) AS near FROM k GROUP BY ALL HAVING count(*) = 4),
+  s AS (SELECT DISTINCT field_id, list_sort(list_append(list_filter(near, lambda e, i: i <> gone), struct_pack(id := star_id, x := ax, y := ay))) AS m FROM g, (SELECT unnest([1, 2, 3, 4]) AS gone)),
+  e AS (SELECT field_id, array_to_string(list_transform(m, lambda p: p.id), '-') AS ids, greatest({", ".join(_D.format(i=i, j=j) for i in range(1, 5) for j in range(i + 1, 5))}) AS d FROM s)
+  SELECT field_id, ids, round(d, 4) + 0e0 AS d1 FROM (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY d DESC, ids) AS place FROM e WHERE d >= 1e-10) WHERE place <= 600"""
+
+
+@query("n15_seed_quads", _SEEDS, ("std_stars",))
 def _(spark, d):
     q = patterns.seeds(_top(spark, d))
     return q.select("field_id", F.concat_ws("-", F.transform("ids", lambda i: i.cast("string"))).alias("ids"), r("d1", 4).alias("d1"))
@@ -568,7 +576,15 @@ def _(spark, d):
     return votes.sky_votes(V.view(spark, d, "hypotheses"), 0.1, 0.2)
 
 
-@query("v05_smoothed_votes")
+_NRA = "greatest(1, floor(2e0 * pi() / (0.1e0 / greatest(cos(({b} + 0.5e0) * 0.1e0 - pi() / 2e0), 1e-6))))"
+_SMOOTH = f"""WITH v AS (SELECT band, ra_bin, s_bin, count(*) AS votes FROM ({_KEY}) GROUP BY ALL),
+  c AS (SELECT band, ra_bin, s_bin, ds, (band + 0.5e0) * 0.1e0 - pi() / 2e0 + dd * 0.1e0 AS d2, (ra_bin + 0.5e0) * 2e0 * pi() / {_NRA.format(b="band")} AS ra, dr FROM v, (SELECT unnest([-1, 0, 1]) AS dd), (SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS ds)),
+  b AS (SELECT band, ra_bin, s_bin, s_bin + ds AS ns, CAST(least(31, greatest(0, floor((d2 + pi() / 2e0) / 0.1e0))) AS BIGINT) AS nb, ra + dr * 0.1e0 / greatest(cos(d2), 1e-6) AS r2 FROM c WHERE abs(d2) <= pi() / 2e0),
+  n AS (SELECT DISTINCT band, ra_bin, s_bin, ns, nb, CAST(floor((r2 - 2e0 * pi() * floor(r2 / (2e0 * pi()))) / (2e0 * pi()) * nn) % nn AS BIGINT) AS nr FROM (SELECT *, {_NRA.format(b="nb")} AS nn FROM b))
+  SELECT n.band, n.ra_bin, n.s_bin, CAST(sum(o.votes) AS BIGINT) AS smoothed FROM n JOIN v o ON o.band = n.nb AND o.ra_bin = n.nr AND o.s_bin = n.ns GROUP BY ALL"""
+
+
+@query("v05_smoothed_votes", _SMOOTH, ("hypotheses",))
 def _(spark, d):
     return votes.smoothed(votes.sky_votes(V.view(spark, d, "hypotheses"), 0.1, 0.2), 0.1)
 
