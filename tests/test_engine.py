@@ -297,6 +297,49 @@ def test_positions_over_the_pole(spark):
     assert set(got) == set(want) and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
 
 
+def test_packed_catalogues(spark):
+    from skyloom.sources import packed
+
+    rng = np.random.default_rng(41)
+    ra, dec, mag = rng.uniform(0, 6.28, 400), rng.uniform(-1.5, 1.5, 400), np.round(rng.uniform(-1, 15, 400), 1)
+    for size in (5, 6):
+        got = np.array(packed.read_tile(packed.write_tile(ra, dec, mag, size))).T
+        want = np.stack([ra, dec, mag], 1)
+        assert np.allclose(got[np.lexsort(got.T[:1])], want[np.lexsort(want.T[:1])], atol=1e-6) and (np.diff(got[:, 2]) > -1e-9).all()
+    lone = b"x".ljust(109) + bytes([5]) + b"\xff\xff\xff" + bytes([128, 17])
+    assert len(packed.read_tile(lone)[0]) == 0 and len(packed.read_tile(b"short")[0]) == 0
+    good = packed.write_all_sky(ra, dec, mag)
+    bad = b"x".ljust(109) + b" " + b"\0" * 50
+    files = spark.createDataFrame([("a", good), ("b", good[:-12]), ("c", b"")], "path string, content binary")
+    rows = packed.stars(files, all_sky=True).groupBy("path", "status").count().collect()
+    assert {(r["path"], r["count"]) for r in rows if r["status"] == "ok"} == {("a", 400)} and any(r["path"] == "b" and "declares 400" in r["status"] for r in rows)
+    rows = packed.stars(spark.createDataFrame([("d", bad), ("e", lone)], "path string, content binary")).collect()
+    assert [(r["path"], r["status"]) for r in rows] == [("d", "records of 11 bytes are not read")]
+
+
+def test_orderings_of_near_ties(spark):
+    cases = [([1.0, 2.0, 3.0, 4.0], 1), ([1.0, 1.01, 3.0, 4.0], 2), ([1.0, 1.0, 1.0, 1.0], 8), ([1.0, 2.0, 2.01, 2.02], 4), ([1.0, 1.01, 3.0, 3.01], 4)]
+    df = spark.createDataFrame([(k, [3, 1, 0, 2], t) for k, (t, _) in enumerate(cases)], "k int, o array<int>, t array<double>")
+    for r in df.select("k", P.orderings(F.col("o"), F.col("t")).alias("all")).collect():
+        t, n = cases[r["k"]]
+        want = [(3, 1, 0, 2)]
+        for i in range(3):
+            if t[i + 1] - t[i] <= 0.015 * t[i + 1]:
+                for o in list(want):
+                    swapped = list(o)
+                    swapped[i], swapped[i + 1] = swapped[i + 1], swapped[i]
+                    want += [tuple(swapped)] if tuple(swapped) not in want else []
+        assert {tuple(o) for o in r["all"]} == set(want) and len(r["all"]) == n
+
+
+def test_polynomial_inverse(spark):
+    cu, cv = [5.0, 3.0, 0.02, 1e-5, 2e-5, -1e-5], [-7.0, -0.02, 3.0, 2e-5, 0.0, 1e-5]
+    df = spark.createDataFrame([(float(x), float(y)) for x in (-900, 0, 700) for y in (-500, 3, 1200)], "x double, y double")
+    rows = df.select("x", "y", sphere.polynomial_inverse(cu, cv, sphere.polynomial(cu, "x", "y"), sphere.polynomial(cv, "x", "y")).alias("p")).collect()
+    assert all(abs(r["p"]["x"] - r["x"]) < 1e-3 and abs(r["p"]["y"] - r["y"]) < 1e-3 for r in rows)
+    assert df.select(sphere.polynomial_inverse([0.0, 1.0, 1.0], [0.0, 1.0, 1.0], "x", "y").alias("p")).first()["p"] is None
+
+
 def test_costs_concerns_and_choices(spark):
     tiers = spark.createDataFrame([(0, 0.1), (1, 0.2), (2, 0.4)], "tier long, radius double")
     c = planning.cost(planning.tier_costs(spark, tiers, "d80"), 24).first()
