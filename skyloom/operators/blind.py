@@ -18,11 +18,12 @@ ANCHORS, NEAR = 150, 5
 def code(ax, ay, bx, by, x, y, flip: bool) -> tuple[Column, Column]:
     """A point in the frame in which A is (0, 0) and B is (1, 1), in either parity."""
     ax, ay, bx, by, x, y = map(sphere.col, (ax, ay, bx, by, x, y))
-    abx, aby, px, py = bx - ax, by - ay, x - ax, y - ay
-    scale = abx * abx + aby * aby
-    c, s = (aby + abx) / scale, (aby - abx) / scale
-    u, v = px * c + py * s, py * c - px * s
-    return (u, v) if flip else (v, u)
+    east, north = bx - ax, by - ay
+    length2 = east * east + north * north
+    # along and across AB, in its length; A to B then lies on the diagonal, an eighth of a turn further on
+    along = ((x - ax) * east + (y - ay) * north) / length2
+    across = ((y - ay) * east - (x - ax) * north) / length2
+    return (along - across, along + across) if flip else (along + across, along - across)
 
 
 def image_patterns(stars: DataFrame, width: int, height: int, group: str = "field_id") -> DataFrame:
