@@ -54,6 +54,8 @@ SMALL_KEY = 64
 BROADCAST_IDS = 1_000_000
 #: A word-hash cache is emptied at this size.
 CACHE = 100_000
+#: Rows are worked on in pieces of at most so many bytes, or one row: as Python objects, and as their keys, they take up to forty times that.
+PIECE_BYTES = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,6 +100,19 @@ class Shingler:
         return np.unique(out)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches in their order, in slices of at most ``PIECE_BYTES``; a row that is larger comes alone."""
+    for batch in batches:
+        left = [batch]
+        while left:
+            piece = left.pop()
+            if piece.nbytes <= PIECE_BYTES or piece.num_rows < 2:
+                yield piece
+            else:
+                half = piece.num_rows // 2
+                left += [piece.slice(half), piece.slice(0, half)]
+
+
 def allowed(size, percent: int):
     """How many of its tokens a set's partner may lack."""
     return size - -(-size * percent // 100)
@@ -128,7 +143,7 @@ def _sets(width: int, percent: int, limit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
-        for batch in batches:
+        for batch in _pieces(batches):
             sizes, names, near, far = [], [], [], []
             for text in batch.column("text"):
                 s = shingle(text.as_py())
@@ -154,7 +169,7 @@ def _keys(percent: int):
     """Rows (key, id, size) for the index, from each set's region tokens that others share (with counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             out_key, out_id, out_size = [], [], []
             for id_, size, near_n, shared, far in zip(*(batch.column(c).to_pylist() for c in ("id", "size", "near_n", "shared", "far"))):
                 keys = index_keys(size, near_n, [(x["df"], x["token"]) for x in shared or ()], far or [], percent)
@@ -216,7 +231,7 @@ def _verify(percent: int):
 
 def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What set b and its pivot a don't have in common."""
-    for batch in batches:
+    for batch in _pieces(batches):
         sizes, edits = [], []
         for x, y in zip(batch.column("set_a"), batch.column("set_b")):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -247,7 +262,7 @@ def _edit_keys(percent: int):
     """Rows (token, a, b, size, n, few, rest): edits to index, rarest of the pivot's sets first; how many are left from each on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             rows = []
             for a, b, size_a, size, n, shared in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "size_a", "size", "n", "shared"))):
                 order = sorted((x["df"], x["token"]) for x in shared or ())
@@ -263,7 +278,7 @@ def _edit_keys(percent: int):
 def _binary(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
-        for batch in batches:
+        for batch in _pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], names=["id", "tokens"])
 
     return run

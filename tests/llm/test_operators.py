@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -399,6 +401,35 @@ def test_edits_bound_holds_for_linked_pairs():
             assert set(sorted(ex, key=order.index)[:few]) & set(sorted(ey, key=order.index)[:many])
 
 
+@pytest.mark.parametrize("step", [ngram_join._keys, ngram_join._edit_keys])
+def test_long_sets_go_through_workers_in_pieces(step):
+    """No row or key is lost by the pieces, and memory follows a piece instead of the batch."""
+    sets, tokens = 60, 5000
+    rng = np.random.default_rng(6)
+    token = pa.array(np.tile(rng.integers(-(2**63), 2**63 - 1, tokens, np.int64), sets))
+    shared = pa.ListArray.from_arrays(pa.array(np.arange(sets + 1, dtype=np.int32) * tokens), pa.StructArray.from_arrays([pa.array(np.full(sets * tokens, 300, np.int32)), token], ["df", "token"]))
+    ids, size = pa.array(np.arange(sets)), pa.array(np.full(sets, tokens, np.int32))
+    rows = {"a": ids, "b": ids, "id": ids, "size": size, "size_a": size, "near_n": size, "n": size, "far": pa.array([[]] * sets, pa.list_(pa.int64())), "shared": shared}
+    batch = pa.RecordBatch.from_arrays(list(rows.values()), names=list(rows))
+    want = pa.Table.from_batches([out for k in range(sets) for out in step(80)(iter([batch.slice(k, 1)]))]).combine_chunks().to_batches()[0]
+    done = 0
+    tracemalloc.start()
+    for out in step(80)(iter([batch])):
+        assert out.equals(want.slice(done, out.num_rows))
+        done += out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done == want.num_rows > 0 and peak < 64 << 20
+
+
+def test_pieces_hold_all_rows_in_order():
+    texts = ["x" * n for n in (0, 3 << 20, 5, 700_000, 700_000, 1)] + [None] * 3 + ["y" * 40_000] * 200
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    pieces = list(ngram_join._pieces(iter([batch.slice(0, 0), batch])))
+    assert pa.Table.from_batches(pieces).to_pydict() == batch.to_pydict()
+    assert all(p.nbytes <= ngram_join.PIECE_BYTES or p.num_rows == 1 for p in pieces)
+
+
 def test_jaccard_of_nothing(spark):
     assert ngram_join.linked(documents(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.linked(documents(spark, [None, ""])).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1)]
